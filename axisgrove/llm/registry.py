@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op5_rules
+from . import op4_mix, op5_rules, op7_license
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_mix": op4_mix.op4_mix,
         "op5_quality_rules": op5_rules.op5_quality_rules,
+        "op7_license_scan": op7_license.op7_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_quality_rules": op5_rules.OP5_SQL,
+        "op7_license_scan": op7_license.OP7_SQL,
     }
