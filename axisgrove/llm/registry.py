@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op4_mix, op5_rules, op7_license
+from . import op2_pii, op4_mix, op5_rules, op7_license
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_pii": op2_pii.op2_pii,
         "op4_mix": op4_mix.op4_mix,
         "op5_quality_rules": op5_rules.op5_quality_rules,
         "op7_license_scan": op7_license.op7_license_scan,
