@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_pii, op4_mix, op5_rules, op7_license
+from . import op2_pii, op4_mix, op5_rules, op6_quality, op7_license, op8_minhash, op10_language
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii": op2_pii.op2_pii,
         "op4_mix": op4_mix.op4_mix,
         "op5_quality_rules": op5_rules.op5_quality_rules,
+        "op6_quality": op6_quality.op6_quality,
         "op7_license_scan": op7_license.op7_license_scan,
+        "op8_minhash": op8_minhash.op8_minhash,
+        "op10_language": op10_language.op10_language,
     }
 
 
@@ -22,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_quality_rules": op5_rules.OP5_SQL,
         "op7_license_scan": op7_license.OP7_SQL,
+        "op8_minhash": op8_minhash.OP8_SQL,
     }
