@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_decontaminate, op2_pii, op4_mix, op5_rules, op6_quality, op7_license, op8_minhash, op10_language
+from . import op1_decontaminate, op2_pii, op4_mix, op5_rules, op6_quality, op7_license, op8_minhash, op9_lm, op10_language
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality": op6_quality.op6_quality,
         "op7_license_scan": op7_license.op7_license_scan,
         "op8_minhash": op8_minhash.op8_minhash,
+        "op9_lm": op9_lm.op9_lm,
         "op10_language": op10_language.op10_language,
     }
 
