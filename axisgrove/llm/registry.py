@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_decontaminate, op2_pii, op4_mix, op5_rules, op6_quality, op7_license, op8_minhash, op9_lm, op10_language
+from . import op1_decontaminate, op2_pii, op3_html, op4_mix, op5_rules, op6_quality, op7_license, op8_minhash, op9_lm, op10_language
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate.op1_decontaminate,
         "op2_pii": op2_pii.op2_pii,
+        "op3_html": op3_html.op3_html,
         "op4_mix": op4_mix.op4_mix,
         "op5_quality_rules": op5_rules.op5_quality_rules,
         "op6_quality": op6_quality.op6_quality,
