@@ -75,3 +75,12 @@ def ascii_lower_sql(text: str) -> str:
 def rows_of(df: DataFrame) -> int:
     """A count that parquet answers from its footers."""
     return df.count()
+
+
+#: Ids are broadcast up to so many (16 bytes each in a hashed relation); beyond it the join shuffles.
+BROADCAST_IDS = 200_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is not in ids (one column of that name, written already)."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, "left_anti").select(*docs.columns)

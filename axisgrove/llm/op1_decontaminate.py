@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, let, lets, table
+from .common import Scratch, let, lets, table, without
 
 SHINGLE = 5
 PERCENT = 80
@@ -127,7 +127,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that no item contaminates, with their columns."""
     bad = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti").select(*docs.columns)
+    return without(docs, Scratch(docs.sparkSession, "leaks").keep(bad, "bad"), id_col)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

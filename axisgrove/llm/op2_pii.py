@@ -173,27 +173,30 @@ def classifier(counts: list[tuple], smooth: float = 1.0) -> tuple[float, dict]:
     return math.log(mass[1] / mass[0]), odds
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns doc_id, base (kind -> array of (start, end)) as columns email, ip, card, phone, and added: array of
-    (kind, start, end, probability) of the classifier's spans."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "pii")
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    d = d.select("doc_id", "text", F.expr("text rlike '[0-9]'").alias("digits"))
-    some = "(digits or text rlike '[(\\\\[]at[)\\\\]]')"
+FOUND = (*BASE, "candidates")
+
+
+def located(docs: DataFrame, text: str, *columns: str) -> DataFrame:
+    """The columns named, the base kinds' spans and the wider candidates that overlap none of them."""
     empty = "cast(array() as array<struct<start:bigint,end:bigint,kind:string," + "".join(f"{v}:int," for v in VOTES) + "length:string,digits:string,before:string,after:string>>)"
-    d = scratch.keep(d.select("doc_id", *(F.expr(base_sql(k)).alias(k) for k in BASE), F.expr(f"if({some}, {voted_sql()}, {empty})").alias("candidates")), "found")
-    base = "array_sort(concat(" + ", ".join(BASE) + "))"
     part = f"slice(base, k * {RUN} + 1, {RUN})"
     parts = f"transform(sequence(0, cast(ceil(size(base) / {RUN}) as int) - 1), k -> struct({part} as part, array_min({part}).start as low, array_max(transform({part}, b -> b.end)) as high))"
     free = lets("filter(candidates, c -> not exists(parts, k -> c.start < k.high and k.low < c.end and exists(k.part, b -> c.start < b.end and b.start < c.end)))", ("parts", parts))
-    d = d.withColumn("base", F.expr(base)).withColumn("candidates", F.expr(f"if(size(candidates) = 0 or size(base) = 0, candidates, {free})"))
-    seen = d.select(F.explode("candidates").alias("c")).select("c.*").groupBy(*FEATURES, *VOTES).agg(F.count("*").alias("n")).collect()
+    d = docs.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    d = d.select(*columns, F.col("__text").alias("text"), F.expr("__text rlike '[0-9]'").alias("digits"))
+    d = d.select(*columns, *(F.expr(base_sql(k)).alias(k) for k in BASE), F.expr(f"if(digits or text rlike '[(\\\\[]at[)\\\\]]', {voted_sql()}, {empty})").alias("candidates"))
+    d = d.select(*columns, *FOUND, F.expr("array_sort(concat(" + ", ".join(BASE) + "))").alias("base"))
+    return d.select(*columns, *BASE, F.expr(f"if(size(candidates) = 0 or size(base) = 0, candidates, {free})").alias("candidates"))
+
+
+def learned(found: DataFrame) -> str:
+    """SQL of the classifier's spans, an array of (kind, start, end, probability), from the candidates of found."""
+    seen = found.select(F.explode("candidates").alias("c")).select("c.*").groupBy(*FEATURES, *VOTES).agg(F.count("*").alias("n")).collect()
     by: dict = defaultdict(int)
     for r in seen:
         by[r["kind"], tuple(r[v] for v in VOTES)] += r["n"]
     patterns = sorted((k, v, n) for (k, v), n in by.items())
-    _, _, post = reliabilities(patterns) if patterns else ({}, {}, [])
+    post = reliabilities(patterns)[2] if patterns else []
     of = {(k, v): p for (k, v, _), p in zip(patterns, post)}
     names = (*FEATURES, *VOTES)
     prior, odds = classifier([({x: r[x] for x in names}, of[r["kind"], tuple(r[v] for v in VOTES)], r["n"]) for r in sorted(seen, key=str)])
@@ -203,8 +206,32 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         if values:
             terms.append(f"case cast(c.{name} as string) " + " ".join(f"when '{v}' then {o!r}D" for v, o in values) + " else 0D end")
     logit = " + ".join(terms)
-    added = f"filter(transform(candidates, c -> struct(c.kind as kind, c.start as start, c.end as end, 1 / (1 + exp(-({logit}))) as probability)), c -> c.probability >= 0.5)"
-    return d.select("doc_id", *BASE, F.expr(added).alias("added"))
+    return f"filter(transform(candidates, c -> struct(c.kind as kind, c.start as start, c.end as end, 1 / (1 + exp(-({logit}))) as probability)), c -> c.probability >= 0.5)"
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Returns doc_id, the base kinds' spans (arrays of (start, end)) as email, ip, card, phone, and added: array of
+    (kind, start, end, probability) of the classifier's spans."""
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = Scratch(docs.sparkSession, "pii").keep(located(d, "text", "doc_id"), "found")
+    return found.select("doc_id", *BASE, F.expr(learned(found)).alias("added"))
+
+
+def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows and columns of docs, each span of a text replaced by its kind in brackets; of overlapping spans the
+    first stands, the longer of two with one start. Null texts stay null. No shuffle: the classifier is learned in a
+    first pass over the texts and applied in a second."""
+    d = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__raw"))
+    scratch = Scratch(docs.sparkSession, "redact")
+    added = learned(scratch.keep(located(d, "__raw").where("size(candidates) > 0"), "found"))
+    scratch.drop()
+    f = located(d, "__raw", "__row", "__raw").select("__row", "__raw", *BASE, F.expr(added).alias("added"))
+    every = "array_sort(concat(" + ", ".join(f"transform({k}, x -> struct(x.start as start, -x.end as e, '{k}' as kind))" for k in BASE) + ", transform(added, x -> struct(x.start as start, -x.end as e, x.kind as kind))))"
+    f = f.select("__row", "__raw", F.expr(every).alias("spans"))
+    step = "if(x.start < a.p, a, struct(-x.e as p, concat(a.o, array(substring(__raw, cast(a.p + 1 as int), cast(x.start - a.p as int)), concat('[', x.kind, ']'))) as o))"
+    new = f"aggregate(spans, struct(0L as p, cast(array() as array<string>) as o), (a, x) -> {step}, a -> concat(array_join(a.o, ''), substring(__raw, cast(a.p + 1 as int))))"
+    f = f.select("__row", F.expr(f"if(__raw is null or size(spans) = 0, __raw, {new})").alias("__raw"))
+    return f.select(*(F.col("__raw").alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in docs.columns))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -147,6 +147,22 @@ def classify(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_
     return out.select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def filterer(model: Discriminant, at: int):
+    def keep(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo, hi, data, offsets in tokens_np.pieces(batch.column(at)):
+                yield batch.slice(lo, hi - lo).filter(pa.array(model.scores(statistics(data, offsets)) >= THRESHOLD))
+
+    return keep
+
+
+def accepted(docs: DataFrame, model: Discriminant, text_col: str = "text") -> DataFrame:
+    """The rows of docs that the model predicts to be good, with their columns; one pass, no shuffle."""
+    return docs.mapInArrow(filterer(model, docs.columns.index(text_col)), docs.schema)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = classify(docs, fit(docs, table(spark, sf_dir, "labels")))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens_np
-from .common import Scratch, table
+from .common import Scratch, table, without
 from .components import connected_components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -180,6 +180,14 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85, rows: int =
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80, rows: int = 6, bands: int = 49, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs of which one document a component is left, the one of the least id. Rows of one id are one
+    document and stay or go together; null ids stay."""
+    found = near_duplicates(docs, n, percent, rows, bands, id_col, text_col)
+    gone = Scratch(docs.sparkSession, "dedup").keep(found.where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
+    return without(docs, gone, id_col)
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
