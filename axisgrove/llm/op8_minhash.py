@@ -1,17 +1,21 @@
 """Near-duplicates by MinHash.
 
-1. One pass over the texts gives each document's shingle count, a 128-bit key of its shingle set, the minima of 294
-   universal hashes (a * x + b over 64 bits) as 42 band keys of 7 minima each, and one byte of every minimum as its
+1. One pass over the texts gives each document's shingle count, a 128-bit key of its shingle set, the minima of 400
+   universal hashes (a * x + b over 64 bits) as 50 band keys of 8 minima each, and one byte of every minimum as its
    signature. Documents with one set become one node, so that copies are never paired.
-2. Nodes that share a band key are candidates. Each bucket first links its members with its least node; later rounds
-   take, in buckets that still hold several components, the next 64 pivots against the members after them in other
-   components, until no untested pair of components is left. A pair is passed over only where its two ends are in
-   one component already, so no link that decides a component is lost, and a group of m copies costs m pairs.
-3. Candidates whose signatures agree in less than 75 % of places (five standard deviations under 85 %) are dropped;
-   the rest are confirmed on the full shingle sets of both texts.
-4. Confirmed links go to connected components by alternating large-star and small-star.
+2. Nodes that share a band key are candidates. Each bucket's most central node (the one with most bucket mates over all
+   its bands) meets the bucket's others; signatures that agree in 75 % of places or more (five standard deviations
+   under 85 %) are a loose link. Where a bucket's members do not all hang on one centre, its signatures are compared
+   inside a task, and only a spanning forest of its loose links comes out.
+3. Components of the loose links, by alternating large-star and small-star, hold all pairs that can be alike. Inside
+   each, all pairs are counted exactly on their full shingle sets, as a product of incidence matrices, and a spanning
+   forest of the confirmed links comes out.
+4. Confirmed links go to connected components, again by large-star and small-star.
 
-A pair at the threshold shares no band with a chance of (1 - 0.85^7)^42 = 9e-8.
+Groups beyond BLOCK members are cut into blocks, and a task gets two blocks: no task grows with a group, and no pair is
+ever a row. A group of m members costs m rows for each block it has.
+
+A pair at the threshold shares no band with a chance of (1 - 0.85^8)^50 = 1.2e-7.
 
 Defined results: null or empty text, or white space, has no shingle and links with nothing; repeated rows are one
 node and each gets its row; an empty table gives an empty result; columns other than id and text are not read.
@@ -23,17 +27,17 @@ import sys
 
 import numpy as np
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens_np
-from .common import Scratch, table, without
+from .common import BROADCAST_IDS, Scratch, table, without
 from .components import connected_components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-ROWS, BANDS = 7, 42
-PIVOTS = 64
+ROWS, BANDS = 8, 50
+BLOCK = 1024
 
 
 def _coefficients(rows: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,82 +109,149 @@ def agreeing(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x == y).mean(axis=1))], names=["a", "b", "share"])
 
 
-def confirmer(n: int, percent: int):
-    def confirm(batches):
-        """The pairs (a, b) of (a, b, text, other) whose shingle sets are alike."""
-        import pyarrow as pa
-
-        def sets(column):
-            for _, _, data, offsets in tokens_np.pieces(column):
-                grams, starts = tokens_np.ngrams(*tokens_np.words(data, offsets), n)
-                for r in range(len(starts) - 1):
-                    yield np.unique(grams[starts[r] : starts[r + 1]])
+def forest(linked: np.ndarray) -> np.ndarray:
+    """The least index that each index can reach over a symmetric boolean matrix."""
+    n = len(linked)
+    label = np.arange(n)
+    for start in range(n):
+        if label[start] != start:
+            continue
+        seen = np.zeros(n, dtype=bool)
+        seen[start] = True
+        edge = seen
+        while edge.any():
+            edge = linked[edge].any(axis=0) & ~seen
+            seen = seen | edge
+        label[seen] = start
+    return label
+
+
+def _spanning(nodes: np.ndarray, linked: np.ndarray):
+    import pyarrow as pa
 
-        for batch in batches:
-            good = []
-            for x, y in zip(sets(batch.column(2)), sets(batch.column(3))):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+    label = forest(linked)
+    rows = np.flatnonzero(label != np.arange(len(label)))
+    return pa.table({"u": pa.array(nodes[rows]), "v": pa.array(nodes[label[rows]])})
+
+
+def alike_signatures(share: float):
+    """A spanning forest of the loose links of a group (node, payload: signature, n_shingles, tag). Nodes of one tag
+    are linked already; those of the commonest tag meet only the others."""
+
+    def run(t):
+        order = np.argsort(t["node"].to_numpy(), kind="stable")
+        nodes, sizes, tags = (t[c].to_numpy()[order] for c in ("node", "n_shingles", "tag"))
+        x = np.frombuffer(b"".join(t["payload"].to_pylist()), dtype=np.uint8).reshape(len(nodes), -1)[order]
+        linked = np.zeros((len(nodes), len(nodes)), dtype=bool)
+        names, counts = np.unique(tags, return_counts=True)
+        common = tags == names[counts.argmax()]
+        for i in np.flatnonzero(~common) if counts.max() > 1 else range(len(nodes)):
+            # sets whose sizes are too far apart cannot be alike
+            near = np.minimum(sizes, sizes[i]) >= (share + 0.1) * np.maximum(sizes, sizes[i]) - 1e-9
+            near[near] = (x[near] == x[i]).mean(axis=1) >= share
+            linked[i] |= near
+            linked[:, i] |= near
+        for tag in names[counts > 1]:
+            same = np.flatnonzero(tags == tag)
+            linked[same[0], same] = linked[same, same[0]] = True
+        return _spanning(nodes, linked)
+
+    return run
+
+
+def alike_sets(n: int, percent: int):
+    """A spanning forest of the confirmed links of a group (node, payload: text)."""
+
+    def run(t):
+        order = np.argsort(t["node"].to_numpy(), kind="stable")
+        nodes = t["node"].to_numpy()[order]
+        payload = t["payload"].combine_chunks() if hasattr(t["payload"], "combine_chunks") else t["payload"]
+        sets = []
+        import pyarrow as pa
 
-    return confirm
+        for _, _, data, offsets in tokens_np.pieces(payload.cast(pa.string()).take(pa.array(order))):
+            grams, starts = tokens_np.ngrams(*tokens_np.words(data, offsets), n)
+            sets += [np.unique(grams[starts[r] : starts[r + 1]]) for r in range(len(starts) - 1)]
+        sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        of = np.repeat(np.arange(len(sets)), sizes)
+        names, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = counts > 1
+        place = np.cumsum(shared) - 1
+        of, ids = of[shared[ids]], place[ids[shared[ids]]]
+        both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+        order = np.argsort(ids, kind="stable")
+        of, ids = of[order], ids[order]
+        width = 4096
+        for lo in range(0, int(shared.sum()), width):
+            a, b = np.searchsorted(ids, [lo, lo + width])
+            m = np.zeros((len(sets), width), dtype=np.float32)
+            m[of[a:b], ids[a:b] - lo] = 1
+            both += m @ m.T
+        union = sizes[:, None] + sizes - both
+        return _spanning(nodes, (100 * both >= percent * union) & (both > 0))
+
+    return run
+
+
+def in_blocks(members: DataFrame, group: str, kernel, block: int = BLOCK) -> DataFrame:
+    """The kernel's edges (u, v) over the groups of members (group, node, payload, n_shingles, tag). Groups of more than
+    `block` members are cut by hash; each pair of blocks is a task."""
+    sizes = members.groupBy(group).agg(F.count("*").alias("m")).where("m > 1").select(F.col(group).alias("g"), F.ceil(F.col("m") / block).cast("int").alias("k"))
+    m = members.join(sizes, members[group] == sizes["g"]).select("g", "node", "payload", "n_shingles", "tag", "k", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("i"))
+    m = m.select("g", "node", "payload", "n_shingles", "tag", F.explode(F.expr("transform(sequence(0, k - 1), j -> struct(least(i, j) as a, greatest(i, j) as b))")).alias("x"))
+    return m.groupBy("g", "x.a", "x.b").applyInArrow(kernel, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85, rows: int = ROWS, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns one row a document: doc_id, n_shingles, component_id (least id of the component), kept."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
+    loose = percent / 100 - 0.1
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     made = d.mapInArrow(featurizer(n, rows, bands), "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>, signature binary")
     made = scratch.keep(made, "features")
     # one node a shingle set: the least id that has it
     nodes = scratch.keep(made.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("node")), "nodes")
-    node_ids = nodes.select(F.col("node").alias("doc_id"))
-    node_of = made.join(node_ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    signs = node_of.select(F.col("doc_id").alias("node"), "signature")
+    node_of = made.join(nodes.select(F.col("node"), "k1", "k2"), (made["doc_id"] == F.col("node")) & (made["k1"] == nodes["k1"]) & (made["k2"] == nodes["k2"]), "left_semi")
+    signs = node_of.groupBy(F.col("doc_id").alias("node"), "n_shingles").agg(F.first("signature").alias("signature"))
     members = node_of.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
-    buckets = scratch.keep(members.join(shared, "band").select("band", "node", "least"), "buckets")
-
-    def confirmed(pairs: DataFrame, k: int) -> DataFrame:
-        p = pairs.join(signs.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a").join(signs.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b")
-        p = p.select("a", "b", "x", "y").mapInArrow(agreeing, "a bigint, b bigint, share double").where(f"share >= {percent / 100 - 0.1}").select("a", "b")
-        p = scratch.keep(p, f"candidates{k}")
-        wanted = p.select(F.col("a").alias("doc_id")).union(p.select(F.col("b").alias("doc_id"))).distinct()
-        if wanted.count() <= 200_000:  # 8 bytes each: a checked bound; beyond it the join shuffles
-            wanted = F.broadcast(wanted)
-        texts = scratch.keep(d.join(wanted, "doc_id", "left_semi"), f"texts{k}")
-        both = p.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
-        good = both.select("a", "b", "text", "other").mapInArrow(confirmer(n, percent), "a bigint, b bigint").distinct()
-        out = scratch.keep(good, f"links{k}")
-        scratch.drop(f"texts{k}")
-        return out
-
-    links = confirmed(buckets.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), 0)
-    components = scratch.keep(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components0")
-
-    # what the first links left apart: pivot rounds in buckets of several components
-    left, first, k = buckets, 2, 0
-    while True:
-        k += 1
-        left = left.select("band", "node").join(components.withColumnRenamed("component", "c"), "node", "left").select("band", "node", F.coalesce("c", "node").alias("c"))
-        mixed = left.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where(f"lo <> hi and n >= {first + 1}").select("band")
-        left = scratch.keep(left.join(mixed, "band", "left_semi").withColumn("at", F.row_number().over(Window.partitionBy("band").orderBy("node"))), f"left{k}")
-        if not left.take(1):
-            break
-        pivots = left.where(F.col("at").between(first, first + PIVOTS - 1)).select("band", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("at").alias("pa"))
-        pairs = left.join(pivots, "band").where("at > pa and c <> ca").select("a", F.col("node").alias("b")).distinct()
-        more = confirmed(pairs, k)
-        if more.take(1):
-            links = scratch.keep(links.unionByName(more), f"all{k}")
-            components = scratch.keep(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), f"components{k}")
-        first += PIVOTS
+    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = scratch.keep(members.join(shared, "band").select("band", "node", "n"), "buckets")
+    central = buckets.groupBy("node").agg(F.sum("n").alias("mates"))
+    ranked = buckets.select("band", "node").join(central, "node")
+    centres = ranked.groupBy("band").agg(F.min(F.struct((-F.col("mates")).alias("w"), F.col("node"))).alias("c")).select("band", F.col("c.node").alias("centre"), F.col("c.w").alias("w"))
+    hung = scratch.keep(buckets.select("band", "node").join(centres, "band"), "hung")
+
+    # loose links to the centres
+    pairs = hung.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"), "w").distinct()
+    far = f"least(m, n_shingles) >= {percent / 100} * greatest(m, n_shingles) - 1e-9"
+    p = pairs.join(signs.select(F.col("node").alias("a"), F.col("signature").alias("x"), F.col("n_shingles").alias("m")), "a").join(signs.select(F.col("node").alias("b"), F.col("signature").alias("y"), "n_shingles"), "b").where(far)
+    star = p.select("a", "b", "x", "y").mapInArrow(agreeing, "a bigint, b bigint, share double").where(f"share >= {loose}").select("a", "b")
+    star = scratch.keep(star, "star")
+    # a bucket whose members all hang on one centre is done; the others are compared inside
+    holds = star.join(central.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min(F.struct((-F.col("mates")).alias("w"), F.col("a"))).alias("c")).select("node", F.col("c.a").alias("on"))
+    tagged = hung.join(holds, "node", "left").select("band", "node", F.when(F.col("node") == F.col("centre"), F.col("centre")).otherwise(F.coalesce("on", -1 - F.col("node"))).alias("on"))
+    mixed = tagged.groupBy("band").agg(F.min("on").alias("lo"), F.max("on").alias("hi")).where("lo <> hi").select("band")
+    inner = tagged.join(mixed, "band", "left_semi").join(signs, "node").select("band", "node", F.col("signature").alias("payload"), "n_shingles", F.col("on").alias("tag"))
+    more = in_blocks(inner, "band", alike_signatures(loose))
+    links = scratch.keep(star.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(more).distinct(), "loose")
+    clusters = scratch.keep(connected_components(links), "clusters")
+
+    # exact counts inside the loose components
+    wanted = clusters.select(F.col("node").alias("doc_id"))
+    if clusters.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = d.join(wanted, "doc_id", "left_semi").join(clusters.withColumnRenamed("node", "doc_id"), "doc_id")
+    texts = texts.join(nodes.select(F.col("node").alias("doc_id"), "n_shingles"), "doc_id").select("component", F.col("doc_id").alias("node"), F.col("text").alias("payload"), "n_shingles", F.lit(0).alias("tag"))
+    sure = scratch.keep(in_blocks(scratch.keep(texts, "texts"), "component", alike_sets(n, percent)), "links")
+    scratch.drop("texts")
+    components = scratch.keep(connected_components(sure), "components")
     small = nodes.join(components, "node", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     out = made.select("doc_id", "n_shingles", "k1", "k2").join(small, ["k1", "k2", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80, rows: int = 6, bands: int = 49, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80, rows: int = 7, bands: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs of which one document a component is left, the one of the least id. Rows of one id are one
     document and stay or go together; null ids stay."""
     found = near_duplicates(docs, n, percent, rows, bands, id_col, text_col)
