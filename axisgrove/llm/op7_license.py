@@ -13,6 +13,7 @@ repeated results; an empty table gives an empty result; columns other than id an
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,7 +55,7 @@ def gate_words(templates: dict[str, str], least: float) -> list[str]:
     out: dict[str, None] = {}
     for text in templates.values():
         grams = [set(g.split()) for g in bigrams(text)]
-        lacks = len(grams) * (1 - least / (2 - least))
+        lacks = len(grams) - math.ceil(len(grams) * least / (2 - least) - 1e-9)
         words = sorted({w for g in grams for w in g}, key=lambda w: (-len(w), w))
         chosen: set[str] = set()
         for w in words:
@@ -78,7 +79,7 @@ def matches_sql(text: str, templates: dict[str, str], least: float) -> str:
     grams = {k: bigrams(v) for k, v in templates.items()}
     sizes = [len(g) for g in grams.values()]
     rows = ", ".join(f"struct('{k}' as name, {i} as rank, {len(g)} as n, array({', '.join(repr(x) for x in g)}) as grams)" for i, (k, g) in enumerate(grams.items()))
-    low, high = least / (2 - least), (2 - least) / least
+    low, high = least / (2 - least) - 1e-9, (2 - least) / least + 1e-9
     words = "array_remove(split(regexp_replace(lower(u), '[^a-z0-9]+', ' '), ' '), '')"
     pairs = lets("if(size(v) < 2, array(), array_distinct(transform(slice(v, 2, size(v) - 1), (y, i) -> concat(v[i], ' ', y))))", ("v", words))
     score = ("filter(transform(filter(templates, t -> size(g) >= {low} * t.n and size(g) <= {high} * t.n), "
