@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
+#: A task gets so many edges at least.
+EDGES = 50_000
+
+
 def _linked(edges: DataFrame, both: bool) -> DataFrame:
     """(u, v, m): each node's neighbours (smaller ones only unless both) and the least of them and itself."""
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -22,16 +26,18 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     node that can be reached. Each round writes its edges to the shared folder, so plans stay short."""
     scratch = Scratch(edges.sparkSession, "components")
     e = scratch.keep(edges.select("u", "v").where("u <> v").distinct(), "e0")
+    # the number of edges, which rounds hardly raise, decides how many tasks are worth starting
+    tasks = max(1, min(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + e.count() // EDGES))
     before = None
     for k in range(1, rounds + 1):
-        large = _linked(e, True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = _linked(large.where("u <> v").distinct(), False)
+        large = _linked(e, True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks)
+        small = _linked(large, False).coalesce(tasks)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        e = scratch.keep(small.where("u <> v").distinct(), f"e{k}")
+        e = scratch.keep(small.where("u <> v").distinct().coalesce(tasks), f"e{k}")
         # a star forest has one edge for each node that is not a centre, and no centre on both sides
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sum")).first()
         scratch.drop(f"e{k - 1}")
         if now == before:
             break
         before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct().coalesce(tasks)
