@@ -245,19 +245,5 @@ def digest(found: DataFrame) -> DataFrame:
     return out.select("doc_id", *(f"n_{k}" for k in BASE), F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join(F.concat("base", "more"), ",").alias("spans"))
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows and columns of docs, each span of a text replaced by its kind in brackets; of overlapping spans the
-    first stands, the longer of two with one start. Null texts stay null. Ids must be unique: rows of one id get the
-    spans of each other's texts only if the texts are equal."""
-    spans = find(docs, id_col, text_col)
-    every = "concat(" + ", ".join(f"transform({k}, x -> struct(x.start as start, -x.end as e, '{k}' as kind))" for k in BASE) + ", transform(added, x -> struct(x.start as start, -x.end as e, x.kind as kind)))"
-    spans = spans.select(F.col("doc_id").alias("__id"), F.expr(f"array_sort({every})").alias("__spans")).where("size(__spans) > 0").dropDuplicates(["__id"])
-    joined = docs.join(spans, docs[id_col] == spans["__id"], "left")
-    text = f"`{text_col}`"
-    step = f"if(x.start < a.p, a, struct(-x.e as p, concat(a.o, array(substring({text}, cast(a.p + 1 as int), cast(x.start - a.p as int)), concat('[', x.kind, ']'))) as o))"
-    new = f"aggregate(__spans, struct(0L as p, cast(array() as array<string>) as o), (a, x) -> {step}, a -> concat(array_join(a.o, ''), substring({text}, cast(a.p + 1 as int))))"
-    return joined.withColumn(text_col, F.expr(f"if(__spans is null or {text} is null, {text}, {new})")).select(*docs.columns)
-
-
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find(table(spark, sf_dir, "documents")))
