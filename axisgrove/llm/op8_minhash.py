@@ -12,7 +12,7 @@
    forest of the confirmed links comes out.
 4. Confirmed links go to connected components, again by large-star and small-star.
 
-Groups beyond BLOCK members are cut into blocks, and a task gets two blocks: no task grows with a group, and no pair is
+Groups beyond BLOCK members or PAYLOAD bytes are cut into blocks, and a task gets two blocks: no task grows with a group, and no pair is
 ever a row. A group of m members costs m rows for each block it has.
 
 A pair at the threshold shares no band with a chance of (1 - 0.85^8)^50 = 1.2e-7.
@@ -37,7 +37,7 @@ from .components import connected_components
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROWS, BANDS = 8, 50
-BLOCK = 1024
+BLOCK, PAYLOAD = 1024, 6_000_000
 
 
 def _coefficients(rows: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,18 +173,20 @@ def alike_sets(n: int, percent: int):
             grams, starts = tokens_np.ngrams(*tokens_np.words(data, offsets), n)
             sets += [np.unique(grams[starts[r] : starts[r + 1]]) for r in range(len(starts) - 1)]
         sizes = np.array([len(x) for x in sets], dtype=np.int64)
-        of = np.repeat(np.arange(len(sets)), sizes)
-        names, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        n_sets, of = len(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+        _, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        del sets
         shared = counts > 1
-        place = np.cumsum(shared) - 1
-        of, ids = of[shared[ids]], place[ids[shared[ids]]]
-        both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+        place = (np.cumsum(shared) - 1).astype(np.int32)
+        some = shared[ids]
+        of, ids = of[some], place[ids[some]]
+        both = np.zeros((n_sets, n_sets), dtype=np.float32)
         order = np.argsort(ids, kind="stable")
         of, ids = of[order], ids[order]
-        width = 4096
+        width = 2048
         for lo in range(0, int(shared.sum()), width):
             a, b = np.searchsorted(ids, [lo, lo + width])
-            m = np.zeros((len(sets), width), dtype=np.float32)
+            m = np.zeros((n_sets, width), dtype=np.float32)
             m[of[a:b], ids[a:b] - lo] = 1
             both += m @ m.T
         union = sizes[:, None] + sizes - both
@@ -193,10 +195,11 @@ def alike_sets(n: int, percent: int):
     return run
 
 
-def in_blocks(members: DataFrame, group: str, kernel, block: int = BLOCK) -> DataFrame:
+def in_blocks(members: DataFrame, group: str, kernel, block: int = BLOCK, payload: int = PAYLOAD) -> DataFrame:
     """The kernel's edges (u, v) over the groups of members (group, node, payload, n_shingles, tag). Groups of more than
-    `block` members are cut by hash; each pair of blocks is a task."""
-    sizes = members.groupBy(group).agg(F.count("*").alias("m")).where("m > 1").select(F.col(group).alias("g"), F.ceil(F.col("m") / block).cast("int").alias("k"))
+    `block` members or `payload` bytes of payload are cut by hash; each pair of blocks is a task."""
+    sizes = members.groupBy(group).agg(F.count("*").alias("m"), F.sum(F.length("payload")).alias("bytes")).where("m > 1")
+    sizes = sizes.select(F.col(group).alias("g"), F.least(F.col("m"), F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("bytes") / payload))).cast("int").alias("k"))
     m = members.join(sizes, members[group] == sizes["g"]).select("g", "node", "payload", "n_shingles", "tag", "k", F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("i"))
     m = m.select("g", "node", "payload", "n_shingles", "tag", F.explode(F.expr("transform(sequence(0, k - 1), j -> struct(least(i, j) as a, greatest(i, j) as b))")).alias("x"))
     return m.groupBy("g", "x.a", "x.b").applyInArrow(kernel, "u bigint, v bigint")

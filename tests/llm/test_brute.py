@@ -255,7 +255,7 @@ def test_op8_groups_of_near_copies(spark, monkeypatch):
     for k in range(12):
         docs.append(" ".join(chain[4 * k : 4 * k + 100]))
     rng.shuffle(docs)
-    monkeypatch.setattr(op8_minhash.in_blocks, "__defaults__", (16,))
+    monkeypatch.setattr(op8_minhash.in_blocks, "__defaults__", (16, 30_000))
     got = {r.doc_id: r.component_id for r in op8_minhash.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
     sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (d.split() for d in docs)]
     best = list(range(len(docs)))
