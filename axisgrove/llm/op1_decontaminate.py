@@ -2,7 +2,8 @@
 
 A document is contaminated by an item if one of its windows of the item's length in words is alike: weighted Jaccard
 of 5-word shingles (weights: occurrences) of 0.8 or more. Words are lower-cased and freed of everything but letters
-and digits; an item of fewer than 5 words is one shingle.
+and digits. A document shorter than the item is one window. An item of fewer than 5 words is one shingle, and meets
+the documents' shingles of as many words.
 
 1. Prefix filter, lossless. An alike window lacks at most 20 % of the item's shingles, so it has one of any
    floor(0.2 * n) + 1 of them; the hashes of so many rarest shingles of each item meet the documents' shingles in a
@@ -10,7 +11,7 @@ and digits; an item of fewer than 5 words is one shingle.
 2. Windows. In a candidate document, all starts of windows of the item's length whose shingles could reach the
    similarity: those that hold enough of the item's shingles. Windows with equal contents are looked up once.
 3. SimHash. A window and an item have 64-bit fingerprints of their weighted shingles. A multi-index of 24 blocks finds
-   all items of the window's length within Hamming distance 23: of 24 blocks one must be equal. At the threshold the
+   all items of the length that the window is cut for within Hamming distance 23: of 24 blocks one must be equal. At the threshold the
    angle between two windows makes about 10 bits differ, with a deviation of 3.
 4. The exact weighted Jaccard similarity of the shingles decides.
 
@@ -47,6 +48,11 @@ def shingles_sql(w: str, n: int = SHINGLE) -> str:
         ("h", f"transform({w}, x -> xxhash64(x))"))
 
 
+def item_shingles_sql(w: str) -> str:
+    """The shingles of an item of words w: of its own length if it is shorter than a shingle."""
+    return f"case size({w}) {' '.join(f'when {n} then {shingles_sql(w, n)}' for n in range(1, SHINGLE))} else {shingles_sql(w)} end"
+
+
 def weighted_sql(s: str) -> str:
     """Array of (shingle, weight) of an array of shingles."""
     return let(s, "o", "transform(array_distinct(o), g -> struct(g as g, size(filter(o, y -> y = g)) as n))")
@@ -78,7 +84,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
     items = benchmark.select("item_id", F.expr(norm_words("text")).alias("w")).where("size(w) > 0")
-    items = items.select("item_id", F.expr("size(w)").alias("len"), F.expr(shingles_sql("w")).alias("s"))
+    items = items.select("item_id", F.expr("size(w)").alias("len"), F.expr(item_shingles_sql("w")).alias("s"))
     items = items.groupBy("len", "s").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"))
     items = scratch.keep(items.select(F.xxhash64("len", "s").alias("key"), "len", "s", "item_ids", F.expr(weighted_sql("s")).alias("is"), F.expr(simhash_sql("s")).alias("fp")), "items")
     rarity = items.select("key", F.explode(F.array_distinct("s")).alias("g"), F.size("s").alias("n")).withColumn("df", F.count("*").over(Window.partitionBy("g")))
@@ -90,23 +96,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, start int, similarity double").select(F.col("doc_id").cast(docs.schema[id_col].dataType), F.col("item_id").cast(benchmark.schema["item_id"].dataType), "start", "similarity")
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    s = d.select("doc_id", "th", F.explode(F.array_distinct(F.expr(shingles_sql(norm_words("text"))))).alias("g"))
+    # documents are cut at 5 words, and at the lengths of the items of fewer words
+    short = sorted(r["len"] for r in items.where(f"len < {SHINGLE}").select("len").distinct().collect())
+    lengths = [*short, SHINGLE]
+    cut = [F.expr(shingles_sql("w", n)).alias(f"s{n}") for n in lengths]
+    words = F.expr(norm_words("text")).alias("w")
+    s = d.select("doc_id", "th", words).select("doc_id", "th", F.explode(F.expr(let(f"concat({', '.join(shingles_sql('w', n) for n in lengths)})", "o", "array_distinct(o)"))).alias("g"))
     pairs = s.join(_small(prefix, n_prefix), "g").select("doc_id", "th", "key").distinct()
     pairs = scratch.keep(pairs, "pairs")
 
     # windows of the candidate items' lengths that hold enough of the item's shingles
     few = pairs.select("doc_id", "th").distinct()
     few_rows = few.count()
-    texts = d.join(_small(few, few_rows), ["doc_id", "th"], "left_semi").select("doc_id", "th", F.expr(shingles_sql(norm_words("text"))).alias("ds"))
+    texts = d.join(_small(few, few_rows), ["doc_id", "th"], "left_semi").select("doc_id", "th", words).select("doc_id", "th", *cut)
     texts = scratch.keep(texts.withColumn("row", F.xxhash64("doc_id", "th")), "texts")
     # repeated rows are alike in all that follows
     cand = pairs.join(texts.dropDuplicates(["doc_id", "th"]), ["doc_id", "th"]).join(_small(items.select("key", "s", F.size("s").alias("m"), "len"), items.count()), "key")
+    of_len = f"case len {' '.join(f'when {n} then s{n}' for n in short)} else s{SHINGLE} end" if short else f"s{SHINGLE}"
+    cand = cand.withColumn("ds", F.expr(of_len))
     need = f"ceil({percent} * m / 100.0)"
     hits = "transform(filter(transform(ds, (x, i) -> struct(array_contains(s, x) as hit, i as i)), x -> x.hit), x -> x.i)"
     starts = lets(
         f"filter(array_distinct(flatten(transform(hits, p -> sequence(greatest(0, p - m + 1), p)))), b -> b <= greatest(0, size(ds) - m) and size(filter(hits, p -> p >= b and p < b + m)) >= {need})",
         ("hits", hits))
-    windows = cand.select("doc_id", "th", "len", "m", F.expr(f"if(size(ds) < m, array(), {starts})").alias("starts"), "ds")
+    windows = cand.select("doc_id", "th", "len", "m", F.expr(starts).alias("starts"), "ds")
     windows = windows.select("doc_id", "th", "len", F.explode(F.expr("transform(starts, b -> struct(b as start, slice(ds, b + 1, m) as s))")).alias("x")).select("doc_id", "th", "len", "x.start", "x.s")
     windows = scratch.keep(windows.distinct().withColumn("wkey", F.xxhash64("len", "s")), "windows")
 
@@ -117,9 +130,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
     index = items.select("key", "len", F.col("fp").alias("ifp"), F.explode(F.expr(blocks_sql("fp", radius))).alias("b")).select("key", "len", "ifp", "b.k", "b.v")
     probe = content.select("wkey", "len", "fp", F.explode(F.expr(blocks_sql("fp", radius))).alias("b")).select("wkey", "len", "fp", "b.k", "b.v")
     near = probe.join(_small(index, items.count() * (radius + 1)), ["len", "k", "v"]).where(f"bit_count(fp ^ ifp) <= {radius}").select("wkey", "key").distinct()
-    checked = near.join(content.select("wkey", "ws", "m"), "wkey").join(_small(items.select("key", "is", "item_ids"), items.count()), "key")
-    checked = checked.select("wkey", "item_ids", "m", F.expr(JACCARD).alias("both")).where(f"100 * both >= {percent} * (2 * m - both)")
-    found = windows.join(checked.select("wkey", F.explode("item_ids").alias("item_id"), F.expr("both / (2 * m - both)").alias("similarity")), "wkey")
+    checked = near.join(content.select("wkey", "ws", "m"), "wkey").join(_small(items.select("key", "is", "item_ids", F.size("s").alias("im")), items.count()), "key")
+    checked = checked.select("wkey", "item_ids", F.expr("m + im").alias("sizes"), F.expr(JACCARD).alias("both")).where(f"100 * both >= {percent} * (sizes - both)")
+    found = windows.join(checked.select("wkey", F.explode("item_ids").alias("item_id"), F.expr("both / (sizes - both)").alias("similarity")), "wkey")
     best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("start"))).alias("x"))
     return best.select("doc_id", "item_id", F.col("x.start").cast("int").alias("start"), (-F.col("x.s")).alias("similarity"))
 
