@@ -4,7 +4,13 @@ A document is cut into units (its lines, its paragraphs if they have several lin
 several paragraphs). A unit or template is lower-cased, everything but a-z and 0-9 becomes a space, and its set of
 bigrams of neighbouring words is taken. Dice = 2 * common / (size of one + size of the other). Sizes u and t allow
 at most 2 * min(u, t) / (u + t), so a unit meets only those templates with t * s / (2 - s) <= u <= t * (2 - s) / s,
-s being the least similarity. The templates are a constant of the query; there is no shuffle and no
+s being the least similarity.
+
+A licence may also be any part of the text: for each template, the best of all windows, runs of at most
+t * (2 - s) / s bigrams of the whole text's words, wherever its lines and paragraphs end. A bigram of the template next
+to a window never lowers its score when it joins it, so only windows are scored that cannot grow by one: those from the
+start of a run of the template's bigrams to the end of one, and those of full length. Before that, the template must
+have t * s / (2 - s) bigrams in the text, and a window as many places with one. The templates are a constant of the query; there is no shuffle and no
 join. Texts without any of the words of which every match has one (see gate_words) are not cut at all.
 
 Defined results: null or empty text has no match; equal scores go to the template listed first; repeated rows give
@@ -74,30 +80,57 @@ def units_sql(text: str) -> str:
         ("lines", split(r"\n")), ("paragraphs", split(r"\n[\\x20\\x09\\x0D]*\n")))
 
 
+def windows_sql(templates: str, words: str, low: float, high: float, least: float) -> str:
+    """Array of (name, rank, dice) of the best window of an array of words, for each template that has one."""
+    few, most = f"cast(ceil(t.n * {low!r}D) as int)", f"cast(floor(t.n * {high!r}D) as int)"
+    hit = lambda at: f"coalesce(get(hits, {at}), false)"
+    full = f"if({hit(f'x.a + {most} - 1')}, array(x.a + {most} - 1), cast(array() as array<int>))"
+    # starts a, with the place c up to which a window has enough hits
+    starts = f"filter(transform(places, (a, j) -> struct(a as a, get(places, j + {few} - 1) as c)), x -> x.c < x.a + {most} and (not {hit('x.a - 1')} or {hit(f'x.a + {most} - 1')}))"
+    ends = f"if({hit('x.a - 1')}, {full}, array_union(filter(stops, b -> b >= x.c and b < x.a + {most}), {full}))"
+    dice = let("array_distinct(slice(g, x.a + 1, b - x.a + 1))", "d", "2D * size(array_intersect(t.grams, d)) / (t.n + size(d))")
+    best = lets(
+        f"array_max(flatten(transform({starts}, x -> transform({ends}, b -> {dice}))))",
+        ("hits", "transform(g, y -> array_contains(t.grams, y))"),
+        ("places", "filter(transform(hits, (h, i) -> if(h, i, -1)), i -> i >= 0)"),
+        ("stops", f"filter(places, i -> not {hit('i + 1')})"))
+    found = f"transform(filter({templates}, t -> size(array_intersect(t.grams, known)) >= {few}), t -> struct(t.name as name, t.rank as rank, {best} as dice))"
+    return lets(
+        f"filter({found}, m -> m.dice >= {least}D)",
+        ("v", words),
+        ("g", "if(size(v) < 2, cast(array() as array<string>), transform(slice(v, 2, size(v) - 1), (y, i) -> concat(v[i], ' ', y)))"),
+        ("known", f"array_intersect(flatten(transform({templates}, t -> t.grams)), g)"))
+
+
 def matches_sql(text: str, templates: dict[str, str], least: float) -> str:
-    """Array of (name, rank, dice) of the matches of all units."""
+    """Array of (name, rank, dice, counts) of the matches of all units, and of the best window of each template; that
+    does not count if a unit matches the template."""
     grams = {k: bigrams(v) for k, v in templates.items()}
     sizes = [len(g) for g in grams.values()]
     rows = ", ".join(f"struct('{k}' as name, {i} as rank, {len(g)} as n, array({', '.join(repr(x) for x in g)}) as grams)" for i, (k, g) in enumerate(grams.items()))
     low, high = least / (2 - least) - 1e-9, (2 - least) / least + 1e-9
-    words = "array_remove(split(regexp_replace(lower(u), '[^a-z0-9]+', ' '), ' '), '')"
-    pairs = lets("if(size(v) < 2, array(), array_distinct(transform(slice(v, 2, size(v) - 1), (y, i) -> concat(v[i], ' ', y))))", ("v", words))
+    words_of = lambda x: f"array_remove(split(regexp_replace(lower({x}), '[^a-z0-9]+', ' '), ' '), '')"
+    pairs = lets("if(size(v) < 2, array(), array_distinct(transform(slice(v, 2, size(v) - 1), (y, i) -> concat(v[i], ' ', y))))", ("v", words_of("u")))
     score = ("filter(transform(filter(templates, t -> size(g) >= {low} * t.n and size(g) <= {high} * t.n), "
-             "t -> struct(t.name as name, t.rank as rank, 2D * size(array_intersect(t.grams, g)) / (t.n + size(g)) as dice)), m -> m.dice >= {least}D)").format(low=f"{low!r}D", high=f"{high!r}D", least=least)
+             "t -> struct(t.name as name, t.rank as rank, 2D * size(array_intersect(t.grams, g)) / (t.n + size(g)) as dice, true as counts)), m -> m.dice >= {least}D)").format(low=f"{low!r}D", high=f"{high!r}D", least=least)
     gate = f"lower({text}) rlike '(?<![a-z0-9])(?:{'|'.join(gate_words(templates, least))})(?![a-z0-9])'"
-    none = "cast(array() as array<struct<name:string,rank:int,dice:double>>)"
-    return f"if({gate}, " + lets(f"flatten(transform(filter({units_sql(text)}, u -> length(u) >= {int(min(sizes) * low * 2)}), u -> {let(pairs, 'g', score)}))", ("templates", f"array({rows})")) + f", {none})"
+    none = "cast(array() as array<struct<name:string,rank:int,dice:double,counts:boolean>>)"
+    units = f"flatten(transform(filter({units_sql(text)}, u -> length(u) >= {int(min(sizes) * low * 2)}), u -> {let(pairs, 'g', score)}))"
+    windows = windows_sql("templates", words_of(text), low, high, least)
+    both = f"concat(units, transform({windows}, m -> struct(m.name as name, m.rank as rank, m.dice as dice, not exists(units, x -> x.rank = m.rank) as counts)))"
+    return f"if({gate}, {lets(both, ('templates', f'array({rows})'), ('units', units))}, {none})"
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns doc_id, n_matches (units that match a template; a unit counts for each), license (name of the best
+    """Returns doc_id, n_matches (units that match a template, a unit counts for each, and
+    templates that only a window matches), license (name of the best
     match, null if none), dice (its score) and licenses (all names, in the templates' order, comma-joined)."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d = d.select("doc_id", F.expr(matches_sql("text", templates, least)).alias("m"))
     best = "element_at(array_sort(m, (a, b) -> case when a.dice > b.dice then -1 when a.dice < b.dice then 1 else a.rank - b.rank end), 1)"
     return d.select(
         "doc_id",
-        F.expr("cast(size(m) as bigint)").alias("n_matches"),
+        F.expr("cast(size(filter(m, x -> x.counts)) as bigint)").alias("n_matches"),
         F.expr(f"if(size(m) = 0, null, {best}.name)").alias("license"),
         F.expr(f"if(size(m) = 0, null, {best}.dice)").alias("dice"),
         F.expr("array_join(transform(array_sort(array_distinct(transform(m, x -> struct(x.rank as rank, x.name as name)))), x -> x.name), ',')").alias("licenses"),

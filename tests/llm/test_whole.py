@@ -6,7 +6,7 @@ import collections
 import random
 import re
 
-from axisgrove.llm import op1_decontaminate
+from axisgrove.llm import op1_decontaminate, op7_license
 from test_brute import norm
 
 # 1
@@ -59,3 +59,47 @@ def test_op1_random_short_documents(spark):
         p = p[rng.randint(0, 4) : len(p) - rng.randint(0, 4)]
         docs.append((d, " ".join(p + [rng.choice("xyz") for _ in range(rng.choice([0, 0, 1, 9]))])))
     assert len(check_op1(spark, docs, items)) > 20
+
+
+# 7
+
+
+def best_windows(text):
+    """The best Dice of all runs of words with at most 1.5 times the template's bigrams, for each template."""
+    w = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+    g, out = [f"{a} {b}" for a, b in zip(w, w[1:])], {}
+    for name, template in op7_license.TEMPLATES.items():
+        t = set(op7_license.bigrams(template))
+        for a in range(len(g)):
+            seen, both = set(), 0
+            for x in g[a : a + len(t) * 3 // 2]:
+                both += x in t and x not in seen
+                seen.add(x)
+                out[name] = max(out.get(name, 0), 2 * both / (len(t) + len(seen)))
+    return {k: v for k, v in out.items() if v >= op7_license.LEAST}
+
+
+def test_op7_licences_inside_longer_texts(spark):
+    rng = random.Random(7)
+    prose = lambda n: " ".join(rng.choice(["of the", "software", "a", "river", "is", "the license", "without", "warranty", "stone"]) for _ in range(n))
+    texts = []
+    for name, template in op7_license.TEMPLATES.items():
+        w = template.split()
+        k = len(w) // 3
+        texts.append("\n\n".join([" ".join(w[:k]), " ".join(w[k : 2 * k]), " ".join(w[2 * k :]), prose(500)]))
+        texts.append(f"{prose(40)} {template} {prose(40)}")
+        for _ in range(2):
+            v = [x for x in w if rng.random() > 0.05]
+            v[rng.randrange(len(v)) : 0] = prose(rng.randint(0, 3)).split()
+            texts.append(prose(30) + "\n" + " ".join(v) + "\n\n" + prose(9))
+        texts.append(" ".join(w[: 1 + len(w) // 2] * 3 + w))
+    rows = op7_license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        want = best_windows(texts[r.doc_id])
+        assert set(want) <= set(r.licenses.split(",")) and r.n_matches >= len(want)
+        if want:
+            assert r.dice >= max(want.values()) - 1e-12
+        if r.doc_id % 5 < 2:
+            assert list(op7_license.TEMPLATES)[r.doc_id // 5] in r.licenses.split(",") and r.dice == 1
+            # no unit of these texts matches more than the windows do
+            assert r.licenses == ",".join(k for k in op7_license.TEMPLATES if k in want)
