@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +23,18 @@ def _linked(edges: DataFrame, both: bool) -> DataFrame:
     return e.join(least, e["u"] == least["c"]).select("u", "v", "m")
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component) of every node of edges (u, v), two columns of one orderable type; component is the least
-    node that can be reached. Each round writes its edges to the shared folder, so plans stay short."""
+    node that can be reached. Each round writes its edges to the shared folder, so plans stay short.
+    Rounds go on until the edges stop changing; if that takes more than the given number, it raises."""
     scratch = Scratch(edges.sparkSession, "components")
     e = scratch.keep(edges.select("u", "v").where("u <> v").distinct(), "e0")
     # the number of edges, which rounds hardly raise, decides how many tasks are worth starting
     tasks = max(1, min(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + e.count() // EDGES))
     before = None
-    for k in range(1, rounds + 1):
+    for k in itertools.count(1):
+        if rounds is not None and k > rounds:
+            raise RuntimeError(f"the edges still change after {rounds} rounds")
         large = _linked(e, True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks)
         small = _linked(large, False).coalesce(tasks)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))

@@ -6,7 +6,8 @@ import collections
 import random
 import re
 
-from axisgrove.llm import op1_decontaminate, op7_license
+import pytest
+from axisgrove.llm import components, op1_decontaminate, op7_license
 from test_brute import norm
 
 # 1
@@ -103,3 +104,13 @@ def test_op7_licences_inside_longer_texts(spark):
             assert list(op7_license.TEMPLATES)[r.doc_id // 5] in r.licenses.split(",") and r.dice == 1
             # no unit of these texts matches more than the windows do
             assert r.licenses == ",".join(k for k in op7_license.TEMPLATES if k in want)
+
+
+# 8
+
+
+def test_components_never_stop_early(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        components.connected_components(edges, rounds=1)
+    assert {r.component for r in components.connected_components(edges).collect()} == {0}
