@@ -20,7 +20,7 @@ BROADCAST_ROWS rows (24 bytes each); else the joins shuffle.
 
 Defined results: null or empty texts, and items without words, have no match; repeated rows are judged row by row and
 repeated items each match; an empty table, on either side, gives no pairs; columns other than ids and texts are not
-read, and a document id need not be unique.
+read, and a document id need not be unique, nor be there: a null id is an id like others.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, let, lets, table, without
+from .common import BROADCAST_IDS, Scratch, let, lets, table
 
 SHINGLE = 5
 PERCENT = 80
@@ -95,7 +95,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
     if not n_prefix:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, start int, similarity double").select(F.col("doc_id").cast(docs.schema[id_col].dataType), F.col("item_id").cast(benchmark.schema["item_id"].dataType), "start", "similarity")
 
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    # in a struct, null ids are equal to each other in joins
+    d = docs.select(F.struct(F.col(id_col).alias("id")).alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
     # documents are cut at 5 words, and at the lengths of the items of fewer words
     short = sorted(r["len"] for r in items.where(f"len < {SHINGLE}").select("len").distinct().collect())
     lengths = [*short, SHINGLE]
@@ -134,13 +135,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
     checked = checked.select("wkey", "item_ids", F.expr("m + im").alias("sizes"), F.expr(JACCARD).alias("both")).where(f"100 * both >= {percent} * (sizes - both)")
     found = windows.join(checked.select("wkey", F.explode("item_ids").alias("item_id"), F.expr("both / (sizes - both)").alias("similarity")), "wkey")
     best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("start"))).alias("x"))
-    return best.select("doc_id", "item_id", F.col("x.start").cast("int").alias("start"), (-F.col("x.s")).alias("similarity"))
+    return best.select(F.col("doc_id.id").alias("doc_id"), "item_id", F.col("x.start").cast("int").alias("start"), (-F.col("x.s")).alias("similarity"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that no item contaminates, with their columns."""
-    bad = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return without(docs, Scratch(docs.sparkSession, "leaks").keep(bad, "bad"), id_col)
+    bad = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__id")).distinct()
+    bad = Scratch(docs.sparkSession, "leaks").keep(bad, "bad")
+    return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, docs[id_col].eqNullSafe(bad["__id"]), "left_anti")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

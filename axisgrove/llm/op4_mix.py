@@ -144,11 +144,11 @@ def mix(docs: DataFrame, shards: int = 64, seed: int = 4, ratio: float = 1.5, we
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows that the mix takes, one for each copy: the columns of docs, copy (from 1), shard and order_key. A shard
-    is its rows in the order of order_key. Rows of one id are taken alike. Columns of docs with one of the new names give
+    is its rows in the order of order_key. Rows of one id are taken alike, those without one too. Columns of docs with one of the new names give
     way."""
     plan = mix(docs, id_col=id_col, **options).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.struct("shards", "order_keys")).alias("m"))
     plan = plan.select("__id", F.posexplode(F.arrays_zip("m.shards", "m.order_keys")).alias("k", "m")).select("__id", F.struct((F.col("k") + 1).alias("copy"), F.col("m.shards").alias("shard"), F.col("m.order_keys").alias("order_key")).alias("__m"))
-    return docs.join(plan, docs[id_col] == plan["__id"]).select(*(docs[c] for c in docs.columns if c.lower() not in ("copy", "shard", "order_key")), "__m.*")
+    return docs.join(plan, docs[id_col].eqNullSafe(plan["__id"])).select(*(docs[c] for c in docs.columns if c.lower() not in ("copy", "shard", "order_key")), "__m.*")
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import random
 import re
 
 import pytest
-from axisgrove.llm import components, op1_decontaminate, op7_license
+from axisgrove.llm import components, op1_decontaminate, op4_mix, op7_license
 from test_brute import norm
 
 # 1
@@ -114,3 +114,17 @@ def test_components_never_stop_early(spark):
     with pytest.raises(RuntimeError):
         components.connected_components(edges, rounds=1)
     assert {r.component for r in components.connected_components(edges).collect()} == {0}
+
+
+# null ids
+
+
+def test_null_ids_leak_and_are_mixed(spark, odd):
+    items = spark.createDataFrame([(1, "no id at all here")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in op1_decontaminate.contaminated(odd, items).collect()] == [(None, 1)]
+    left = op1_decontaminate.clean(odd, items)
+    assert left.columns == odd.columns and left.count() == odd.count() - 1 and left.where("doc_id is null").count() == 0
+    d = odd.dropDuplicates(["doc_id"])
+    plan = {r.doc_id: r.copies for r in op4_mix.mix(d).collect()}
+    got = collections.Counter(r.doc_id for r in op4_mix.mixed(d).collect())
+    assert got == collections.Counter({k: n for k, n in plan.items() if n}) and got[None] > 0
