@@ -13,7 +13,8 @@ the documents' shingles of as many words.
 3. SimHash. A window and an item have 64-bit fingerprints of their weighted shingles. A multi-index of 24 blocks finds
    all items of the length that the window is cut for within Hamming distance 23: of 24 blocks one must be equal. At the threshold the
    angle between two windows makes about 10 bits differ, with a deviation of 3.
-4. The exact weighted Jaccard similarity of the shingles decides.
+4. The exact weighted Jaccard similarity of the shingles decides, for those items and for the item that the window was
+   cut for, however far its fingerprint is. So no alike window is lost.
 
 Everything is DataFrame and SQL functions. The benchmark's index is broadcast only if it has at most
 BROADCAST_ROWS rows (24 bytes each); else the joins shuffle.
@@ -120,8 +121,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
     starts = lets(
         f"filter(array_distinct(flatten(transform(hits, p -> sequence(greatest(0, p - m + 1), p)))), b -> b <= greatest(0, size(ds) - m) and size(filter(hits, p -> p >= b and p < b + m)) >= {need})",
         ("hits", hits))
-    windows = cand.select("doc_id", "th", "len", "m", F.expr(starts).alias("starts"), "ds")
-    windows = windows.select("doc_id", "th", "len", F.explode(F.expr("transform(starts, b -> struct(b as start, slice(ds, b + 1, m) as s))")).alias("x")).select("doc_id", "th", "len", "x.start", "x.s")
+    windows = cand.select("doc_id", "th", "key", "len", "m", F.expr(starts).alias("starts"), "ds")
+    windows = windows.select("doc_id", "th", "key", "len", F.explode(F.expr("transform(starts, b -> struct(b as start, slice(ds, b + 1, m) as s))")).alias("x")).select("doc_id", "th", "key", "len", "x.start", "x.s")
     windows = scratch.keep(windows.distinct().withColumn("wkey", F.xxhash64("len", "s")), "windows")
 
     # each content is looked up once
@@ -131,9 +132,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
     index = items.select("key", "len", F.col("fp").alias("ifp"), F.explode(F.expr(blocks_sql("fp", radius))).alias("b")).select("key", "len", "ifp", "b.k", "b.v")
     probe = content.select("wkey", "len", "fp", F.explode(F.expr(blocks_sql("fp", radius))).alias("b")).select("wkey", "len", "fp", "b.k", "b.v")
     near = probe.join(_small(index, items.count() * (radius + 1)), ["len", "k", "v"]).where(f"bit_count(fp ^ ifp) <= {radius}").select("wkey", "key").distinct()
+    # a repeated shingle can turn more bits than the radius: the item that a window was cut for is always compared
+    near = near.unionByName(windows.select("wkey", "key")).distinct()
     checked = near.join(content.select("wkey", "ws", "m"), "wkey").join(_small(items.select("key", "is", "item_ids", F.size("s").alias("im")), items.count()), "key")
     checked = checked.select("wkey", "item_ids", F.expr("m + im").alias("sizes"), F.expr(JACCARD).alias("both")).where(f"100 * both >= {percent} * (sizes - both)")
-    found = windows.join(checked.select("wkey", F.explode("item_ids").alias("item_id"), F.expr("both / (sizes - both)").alias("similarity")), "wkey")
+    found = windows.drop("key").distinct().join(checked.select("wkey", F.explode("item_ids").alias("item_id"), F.expr("both / (sizes - both)").alias("similarity")), "wkey")
     best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("start"))).alias("x"))
     return best.select(F.col("doc_id.id").alias("doc_id"), "item_id", F.col("x.start").cast("int").alias("start"), (-F.col("x.s")).alias("similarity"))
 

@@ -128,3 +128,14 @@ def test_null_ids_leak_and_are_mixed(spark, odd):
     plan = {r.doc_id: r.copies for r in op4_mix.mix(d).collect()}
     got = collections.Counter(r.doc_id for r in op4_mix.mixed(d).collect())
     assert got == collections.Counter({k: n for k, n in plan.items() if n}) and got[None] > 0
+
+
+def test_op1_repeated_shingles_beyond_the_radius(spark):
+    docs, items = [], []
+    for k in range(60):
+        w = [f"i{k}w{j}" for j in range(204)]
+        w[90:104] = [f"r{k}"] * 14
+        items.append((k, " ".join(w)))
+        w[90:104] = [f"x{k}y{j}" for j in range(14)]
+        docs.append((k, " ".join(w)))
+    assert len(check_op1(spark, docs, items)) == 60
