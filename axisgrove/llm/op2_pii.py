@@ -176,17 +176,27 @@ def classifier(counts: list[tuple], smooth: float = 1.0) -> tuple[float, dict]:
 FOUND = (*BASE, "candidates")
 
 
+#: Parts of the search, each over the columns or variables that the ones before it name.
+DIGITS = "{0} rlike '[0-9]'"
+EMPTY = "cast(array() as array<struct<start:bigint,end:bigint,kind:string," + "".join(f"{v}:int," for v in VOTES) + "length:string,digits:string,before:string,after:string>>)"
+BASE_SPANS = "array_sort(concat(" + ", ".join(BASE) + "))"
+_PART = f"slice(base, k * {RUN} + 1, {RUN})"
+_PARTS = f"transform(sequence(0, cast(ceil(size(base) / {RUN}) as int) - 1), k -> struct({_PART} as part, array_min({_PART}).start as low, array_max(transform({_PART}, b -> b.end)) as high))"
+#: The candidates that overlap no base span.
+FREE = "if(size(candidates) = 0 or size(base) = 0, candidates, " + let(_PARTS, "parts", "filter(candidates, c -> not exists(parts, k -> c.start < k.high and k.low < c.end and exists(k.part, b -> c.start < b.end and b.start < c.end)))") + ")"
+
+
+def candidates_sql() -> str:
+    return f"if(digits or text rlike '[(\\\\[]at[)\\\\]]', {voted_sql()}, {EMPTY})"
+
+
 def located(docs: DataFrame, text: str, *columns: str) -> DataFrame:
     """The columns named, the base kinds' spans and the wider candidates that overlap none of them."""
-    empty = "cast(array() as array<struct<start:bigint,end:bigint,kind:string," + "".join(f"{v}:int," for v in VOTES) + "length:string,digits:string,before:string,after:string>>)"
-    part = f"slice(base, k * {RUN} + 1, {RUN})"
-    parts = f"transform(sequence(0, cast(ceil(size(base) / {RUN}) as int) - 1), k -> struct({part} as part, array_min({part}).start as low, array_max(transform({part}, b -> b.end)) as high))"
-    free = lets("filter(candidates, c -> not exists(parts, k -> c.start < k.high and k.low < c.end and exists(k.part, b -> c.start < b.end and b.start < c.end)))", ("parts", parts))
     d = docs.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    d = d.select(*columns, F.col("__text").alias("text"), F.expr("__text rlike '[0-9]'").alias("digits"))
-    d = d.select(*columns, *(F.expr(base_sql(k)).alias(k) for k in BASE), F.expr(f"if(digits or text rlike '[(\\\\[]at[)\\\\]]', {voted_sql()}, {empty})").alias("candidates"))
-    d = d.select(*columns, *FOUND, F.expr("array_sort(concat(" + ", ".join(BASE) + "))").alias("base"))
-    return d.select(*columns, *BASE, F.expr(f"if(size(candidates) = 0 or size(base) = 0, candidates, {free})").alias("candidates"))
+    d = d.select(*columns, F.col("__text").alias("text"), F.expr(DIGITS.format("__text")).alias("digits"))
+    d = d.select(*columns, *(F.expr(base_sql(k)).alias(k) for k in BASE), F.expr(candidates_sql()).alias("candidates"))
+    d = d.select(*columns, *FOUND, F.expr(BASE_SPANS).alias("base"))
+    return d.select(*columns, *BASE, F.expr(FREE).alias("candidates"))
 
 
 def learned(found: DataFrame) -> str:
@@ -217,22 +227,42 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return found.select("doc_id", *BASE, F.expr(learned(found)).alias("added"))
 
 
+def spans_sql(text: str, added: str) -> str:
+    """Array of (start, -end, kind) of all spans of a text, base and added, in order; in one expression."""
+    kinds = ", ".join(f"{base_sql(k)} as {k}" for k in BASE)
+    return lets(
+        "array_sort(concat(" + ", ".join(f"transform(f.{k}, x -> struct(x.start as start, -x.end as e, '{k}' as kind))" for k in BASE) + ", transform(added, x -> struct(x.start as start, -x.end as e, x.kind as kind))))",
+        ("text", text), ("digits", DIGITS.format("text")), ("f", f"struct({kinds}, {candidates_sql()} as candidates)"),
+        ("base", "array_sort(concat(" + ", ".join(f"f.{k}" for k in BASE) + "))"), ("candidates", "f.candidates"), ("candidates", FREE), ("added", added))
+
+
+def replaced_sql(raw: str, spans: str) -> str:
+    """The text with each span replaced by its kind in brackets; of overlapping spans the first stands, the longer of
+    two with one start. Pieces are joined in runs, so that a text of many spans is not copied for each."""
+    piece = f"array(substring({raw}, cast(a.p + 1 as int), cast(x.start - a.p as int)), concat('[', x.kind, ']'))"
+    flush = f"if(size(a.o) < {RUN}, struct(-x.e as p, concat(a.o, {piece}) as o, a.r as r), struct(-x.e as p, {piece} as o, concat(a.r, array(array_join(a.o, ''))) as r))"
+    none = "cast(array() as array<string>)"
+    return f"aggregate({spans}, struct(0L as p, {none} as o, {none} as r), (a, x) -> if(x.start < a.p, a, {flush}), a -> concat(array_join(a.r, ''), array_join(a.o, ''), substring({raw}, cast(a.p + 1 as int))))"
+
+
+def settled_sql(text: str, added: str) -> str:
+    """The text with its spans replaced, again and again until none is left. What replaces a span is no part of any
+    other, and each span has a digit, an @ or an (at), so these bound the turns."""
+    turn = let(spans_sql("b.t", added), "spans", f"if(size(spans) = 0, struct(b.t as t, true as done), struct({replaced_sql('b.t', 'spans')} as t, false as done))")
+    return f"aggregate(sequence(1, greatest(1, regexp_count({text}, '[0-9@]|[(\\\\[]at[)\\\\]]'))), struct({text} as t, false as done), (b, turn) -> if(b.done, b, {turn}), b -> b.t)"
+
+
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows and columns of docs, each span of a text replaced by its kind in brackets; of overlapping spans the
-    first stands, the longer of two with one start. Null texts stay null. No shuffle: the classifier is learned in a
-    first pass over the texts and applied in a second."""
+    """The rows and columns of docs, each span of a text replaced by its kind in brackets, until no text has a span: what
+    a span leaves behind can be one of its own. Null texts stay null. No shuffle: the classifier is learned in a first
+    pass over the texts and applied in a second, in which only texts with spans are read more than once."""
     d = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__raw"))
     scratch = Scratch(docs.sparkSession, "redact")
     added = learned(scratch.keep(located(d, "__raw").where("size(candidates) > 0"), "found"))
     scratch.drop()
-    every = "array_sort(concat(" + ", ".join(f"transform({k}, x -> struct(x.start as start, -x.end as e, '{k}' as kind))" for k in BASE) + ", transform(added, x -> struct(x.start as start, -x.end as e, x.kind as kind))))"
-    step = "if(x.start < a.p, a, struct(-x.e as p, concat(a.o, array(substring(__raw, cast(a.p + 1 as int), cast(x.start - a.p as int)), concat('[', x.kind, ']'))) as o))"
-    new = f"aggregate(spans, struct(0L as p, cast(array() as array<string>) as o), (a, x) -> {step}, a -> concat(array_join(a.o, ''), substring(__raw, cast(a.p + 1 as int))))"
-    f = d
-    for _ in range(2):  # a number that ran into a span is one of its own once the span is gone
-        f = located(f, "__raw", "__row", "__raw").select("__row", "__raw", *BASE, F.expr(added).alias("added"))
-        f = f.select("__row", "__raw", F.expr(every).alias("spans"))
-        f = f.select("__row", F.expr(f"if(__raw is null or size(spans) = 0, __raw, {new})").alias("__raw"))
+    f = located(d, "__raw", "__row", "__raw").select("__row", "__raw", *BASE, F.expr(added).alias("added"))
+    some = " or ".join(f"size({k}) > 0" for k in (*BASE, "added"))
+    f = f.select("__row", F.expr(f"if(__raw is not null and ({some}), {settled_sql('__raw', added)}, __raw)").alias("__raw"))
     return f.select(*(F.col("__raw").alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in docs.columns))
 
 
