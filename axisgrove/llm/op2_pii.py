@@ -40,14 +40,19 @@ BASE = {
 #: Needed for any match; a cheap test before the pattern.
 NEEDS = {"email": "contains(text, '@')", "ip": "digits", "card": "digits", "phone": "contains(text, '+')"}
 
+# The words that assign a secret.
+SECRET_CUES = "(?i:token|key|secret|password|passwd|pwd|auth|bearer)"
+
 # The wider candidates, first alternative first: what must stand before, the span, what must stand after.
 WIDER = {
     "account": (r"(?<![A-Za-z0-9])", r"[0-9](?:[\x20-]?[0-9]){11,18}", r"(?![A-Za-z0-9])"),
     "ssn": (r"(?<![A-Za-z0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?![A-Za-z0-9-])"),
     "national_phone": (r"(?<![A-Za-z0-9])", r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}", r"(?![A-Za-z0-9])"),
     "iban": (r"(?<![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}", r"(?![A-Za-z0-9])"),
-    "secret": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9])", r"[A-Za-z0-9+/_-]{20,}+={0,2}", ""),
+    "secret": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])", r"[A-Za-z0-9+/_-]{20,}+={0,2}", ""),
     "disguised_email": (r"(?<![A-Za-z0-9._%+-])", r"[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,64}+(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?)[A-Za-z0-9-]{1,64}+)+", ""),
+    # any value in quotes, or one with a digit after an equals sign, that a cue word assigns
+    "assigned": (rf"(?<=[\"'=]|=\x20)(?<={SECRET_CUES}\x20{{0,2}}[=:]\x20{{0,2}}[\"']?)(?:(?<=[\"'])(?=[^\s\"'<>\[\]]{{4,}}+[\"'])|(?<![\"'])(?=[A-Za-z_]*+[0-9]))", r"[^\s\"'<>,;\[\]]{4,}+", ""),
 }
 KINDS = [*BASE, *WIDER]
 
@@ -187,7 +192,7 @@ FREE = "if(size(candidates) = 0 or size(base) = 0, candidates, " + let(_PARTS, "
 
 
 def candidates_sql() -> str:
-    return f"if(digits or text rlike '[(\\\\[]at[)\\\\]]', {voted_sql()}, {EMPTY})"
+    return f"if(digits or text rlike {quoted(r'[(\[]at[)\]]|' + SECRET_CUES + r'\x20{0,2}[=:]')}, {voted_sql()}, {EMPTY})"
 
 
 def located(docs: DataFrame, text: str, *columns: str) -> DataFrame:
@@ -247,9 +252,9 @@ def replaced_sql(raw: str, spans: str) -> str:
 
 def settled_sql(text: str, added: str) -> str:
     """The text with its spans replaced, again and again until none is left. What replaces a span is no part of any
-    other, and each span has a digit, an @ or an (at), so these bound the turns."""
+    other, and each span has a digit, an @, an (at) or an assignment before it, so these bound the turns."""
     turn = let(spans_sql("b.t", added), "spans", f"if(size(spans) = 0, struct(b.t as t, true as done), struct({replaced_sql('b.t', 'spans')} as t, false as done))")
-    return f"aggregate(sequence(1, greatest(1, regexp_count({text}, '[0-9@]|[(\\\\[]at[)\\\\]]'))), struct({text} as t, false as done), (b, turn) -> if(b.done, b, {turn}), b -> b.t)"
+    return f"aggregate(sequence(1, greatest(1, regexp_count({text}, '[0-9@=:]|[(\\\\[]at[)\\\\]]'))), struct({text} as t, false as done), (b, turn) -> if(b.done, b, {turn}), b -> b.t)"
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -19,3 +19,11 @@ def test_op2_redaction_leaves_no_span(spark):
     assert out[0].text == "[ip] [card][ip]" or base_spans(out[0].text) == ""
     assert [r.text for r in out if r.text and base_spans(r.text)] == []
     assert [r.text for r in out[-3:]] == [None, "", "no data"]
+
+
+def test_op2_assigned_secrets_of_any_length(spark):
+    texts = [f'set password = "hunter{i}pass" now' for i in range(30)] + [f"pwd=x{i}y7 and more" for i in range(30)] + [f'token: "{"qwertzui" * 40}{i}"' for i in range(9)] + ["the key: a plain word of 2024", "no key here", 'secret = "correcthorse"']
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r.text for r in op2_pii.redacted(d).collect()]
+    assert all("hunter" not in t for t in out[:30]) and all("y7" not in t for t in out[30:60]) and all("qwertz" not in t for t in out[60:69])
+    assert out[0] == 'set password = "[assigned]" now' and out[69:71] == texts[69:71] and "correcthorse" not in out[71]
