@@ -50,6 +50,18 @@ def fold(id_col: Column, n: int) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(n))
 
 
+def sampled(rows: DataFrame, key: str, most: int, by: str | None = None) -> DataFrame:
+    """The rows whose key is in a sample of at most `most` keys (for each value of `by`): all of them if there are no
+    more rows than that, else those of the least hash in each of `most` bins of the keys' hashes. It never comes out
+    empty where there are rows, two runs agree, and nothing but a row a bin is shuffled."""
+    group = [by] if by else []
+    h = rows.withColumn("__h", F.xxhash64(key)).withColumn("__bin", F.pmod(F.shiftright("__h", 7), F.lit(most)))
+    bins = h.groupBy(*group, "__bin").agg(F.min("__h").alias("__least"), F.count("*").alias("__n"))
+    sizes = bins.groupBy(*group).agg((F.sum("__n") <= most).alias("__all"))
+    bins = (bins.join(sizes, by) if by else bins.crossJoin(F.broadcast(sizes))).select(*group, "__bin", "__least", "__all")
+    return h.join(F.broadcast(bins), [*group, "__bin"]).where("__all or __h = __least").select(*rows.columns)
+
+
 def let(value: str, name: str, body: str) -> str:
     """SQL that computes value once per row and gives it to body by name. (A lambda variable keeps the
     optimizer from copying an expensive expression into an inner lambda, where each element would pay for it.)"""

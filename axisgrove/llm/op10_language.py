@@ -6,7 +6,8 @@ gets the language of the centroid with the largest cosine; it is rejected if tha
 training vectors of the language are from theirs.
 
 It is fitted on at most per_lang texts a language outside the held-out fold (a bounded, hash-chosen sample, so that
-what reaches the driver is bounded by languages * per_lang * 16 KB). Every row is scored on its whole text, in one pass.
+what reaches the driver is bounded by languages * per_lang * 16 KB; of texts with one id and language the first in
+order is taken). Every row is scored on its whole text, in one pass.
 
 Defined results: null text or one without a letter is `und` with score 0; without training rows everything is `und`;
 equal cosines go to the language first in order; repeated rows are judged row by row; an empty table gives an empty
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens_np
-from .common import fold, table
+from .common import fold, sampled, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -103,13 +104,7 @@ class Centroids:
 def fit(docs: DataFrame, per_lang: int = 400, folds: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Centroids:
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     d = d.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != held))
-    part = None
-    for r in d.groupBy("lang").count().collect():
-        share = F.lit(min(1_000_000, int(1e6 * per_lang / r["count"])))
-        part = F.when(F.col("lang") == r["lang"], share) if part is None else part.when(F.col("lang") == r["lang"], share)
-    if part is None:
-        return Centroids(np.array([]), np.zeros((0, PLACES), dtype=np.float32))
-    d = d.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part)
+    d = sampled(d, "doc_id", per_lang, "lang").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     rows = d.select("text", "lang").mapInArrow(vectorize, "lang string, vector binary").orderBy("lang", "vector").toArrow()
     x = np.frombuffer(b"".join(rows["vector"].to_pylist()), dtype=np.float32).reshape(-1, PLACES)
     return Centroids(np.array(rows["lang"].to_pylist(), dtype=object), x)

@@ -5,7 +5,8 @@ pooled diagonal; a score is the logistic of the difference of the classes' log d
 cached Cholesky factors) and of their priors.
 
 It is fitted on labelled rows outside the held-out fold, at most max_labelled of them (a bounded, hash-chosen sample,
-so that what reaches the driver is bounded: max_labelled rows of 14 numbers). Every row is scored, in one pass.
+so that what reaches the driver is bounded: max_labelled rows of 14 numbers). An id with two different labels has none;
+of texts with one id the first in order is taken. Every row is scored, in one pass.
 
 Defined results: null text counts as empty; an empty text has the statistics of no words and gets a score like any
 other; with labels of one class only, or none, every score is the class's prior (1 without labels); repeated rows are
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens_np
-from .common import fold, table
+from .common import fold, sampled, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -117,13 +118,11 @@ class Discriminant:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> Discriminant:
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(fold(F.col("doc_id"), folds) != held)
-    known = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").where(fold(F.col("doc_id"), folds) != held)
-    n = known.count()
-    if n > max_labelled * 0.95:
-        known = known.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * 0.95 * max_labelled / n)))
-    known = known.dropDuplicates(["doc_id"])
-    rows = d.join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality").mapInArrow(measure, "doc_id bigint, quality int, x array<double>").toArrow()
+    d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(fold(F.col("doc_id"), folds) != held)
+    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").where(fold(F.col("doc_id"), folds) != held)
+    known = sampled(known, "doc_id", max_labelled).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").select("doc_id", "quality")
+    d = d.join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = d.select("doc_id", "text", "quality").mapInArrow(measure, "doc_id bigint, quality int, x array<double>").toArrow()
     x = np.array(rows["x"].combine_chunks().flatten() if rows.num_rows else [], dtype=float).reshape(-1, len(NAMES))
     order = np.argsort(np.array(rows["doc_id"], dtype=np.int64), kind="stable")
     return Discriminant(x[order], np.array(rows["quality"], dtype=int)[order])

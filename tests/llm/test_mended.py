@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import collections
+import math
 import random
+import zlib
 
-from axisgrove.llm import op2_pii
-from test_brute import base_spans
+import numpy as np
+from axisgrove.llm import common, op2_pii, op6_quality, op10_language
+from test_brute import SF, base_spans
 
 # 2
 
@@ -27,3 +31,84 @@ def test_op2_assigned_secrets_of_any_length(spark):
     out = [r.text for r in op2_pii.redacted(d).collect()]
     assert all("hunter" not in t for t in out[:30]) and all("y7" not in t for t in out[30:60]) and all("qwertz" not in t for t in out[60:69])
     assert out[0] == 'set password = "[assigned]" now' and out[69:71] == texts[69:71] and "correcthorse" not in out[71]
+
+
+# 6, 10
+
+
+def test_samples_never_come_out_empty(spark):
+    rows = spark.range(3000).selectExpr("id", "if(id < 2990, 'a', 'b') as l")
+    got = common.sampled(rows, "id", 5, "l").groupBy("l").count().collect()
+    assert {r.l for r in got} == {"a", "b"} and all(1 <= r["count"] <= 5 for r in got)
+    # a language with one id only, however often, is learned
+    d = spark.createDataFrame([(1, "zut alors mon ami", "fr")] * 500 + [(i, f"the thing number {chr(97 + i % 26)} is here", "en") for i in range(2, 900)], "doc_id long, text string, lang string")
+    assert op10_language.fit(d, per_lang=3, held=9).langs == ["en", "fr"]
+
+
+def test_op6_conflicting_labels_are_left_out(spark):
+    d = spark.createDataFrame([(i, f"text number {i} " * (1 + i % 2)) for i in range(40)], "doc_id long, text string")
+    good = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    clash = good.unionByName(good.where("doc_id < 10").selectExpr("doc_id", "1 - quality as quality"))
+    a, b = (op6_quality.classify(d, op6_quality.fit(d, x)).orderBy("doc_id").collect() for x in (good.where("doc_id >= 10"), clash))
+    assert a == b
+
+
+def crc_fold(i, n):
+    return zlib.crc32(str(i).encode()) % n
+
+
+def test_op6_is_the_discriminant(spark):
+    """The query against the formula, from the statistics of each text."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.doc_id in docs}
+
+    def stats(t):
+        b = (t or "").encode()
+        return op6_quality.statistics(np.frombuffer(b, dtype=np.uint8), np.array([0, len(b)]))[0]
+
+    x = {i: stats(t) for i, t in docs.items()}
+    ids = sorted(i for i in labels if crc_fold(i, 5) != 0)
+    train, y = np.array([x[i] for i in ids]), np.array([labels[i] for i in ids])
+    mean, dev = train.mean(axis=0), train.std(axis=0) + 1e-6
+    z = (train - mean) / dev
+    pooled = np.diag(sum((y == c).mean() * z[y == c].var(axis=0) for c in (0, 1))) + 0.05 * np.eye(z.shape[1])
+    density = []
+    for c in (0, 1):
+        own = z[y == c]
+        k = min(0.95, 0.3 + 0.5 * z.shape[1] / len(own))
+        cov = (1 - k) * np.cov(own.T, bias=True) + k * pooled
+        density.append((own.mean(axis=0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1], np.log((y == c).mean())))
+    rows = op6_quality.op6_quality(spark, SF).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        v = (x[r.doc_id] - mean) / dev
+        lp = [p - 0.5 * ((v - m) @ inv @ (v - m)) - 0.5 * det for m, inv, det, p in density]
+        want = 1 / (1 + np.exp(-np.clip(lp[1] - lp[0], -30, 30)))
+        assert abs(r.score - want) < 1e-6 and r.held_out == (crc_fold(r.doc_id, 5) == 0) and r.predicted == (r.score >= 0.3)
+
+
+def test_op10_is_the_nearest_centroid(spark):
+    """The query's language and score against dictionaries of n-grams and the model's centroids; folds by zlib."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    model = op10_language.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    got = {r.doc_id: r for r in op10_language.op10_language(spark, SF).collect()}
+    assert len(got) == len(docs)
+    for r in docs[:400]:
+        t = r.text or ""
+        g = got[r.doc_id]
+        assert g.held_out == (crc_fold(r.doc_id, 4) == 2)
+        if not any(c.isalpha() for c in t):
+            assert g.lang_pred == "und" and g.score == 0
+            continue
+        b = [32 if c in b" \t\n\x0b\x0c\r0123456789" else c + 32 * (65 <= c <= 90) for c in t.encode()]
+        tf = collections.Counter(((x * 40503) % 2**32 + 7) % 4096 for x in b)
+        tf.update(((x * 257 + y + 1009) * 2654435761 % 2**32) >> 20 for x, y in zip(b, b[1:]))
+        tf.update((((x * 257 + y) * 257 + z + 70001) * 2654435761 % 2**32) >> 20 for x, y, z in zip(b, b[1:], b[2:]))
+        v = np.zeros(4096)
+        for k, n in tf.items():
+            v[k] = math.log1p(n) * model.idf[k]
+        cos = model.centroids.astype(float) @ (v / np.linalg.norm(v))
+        best = cos.argsort()[::-1]
+        assert abs(g.score - min(1, cos[best[0]])) < 1e-4
+        if cos[best[0]] - cos[best[1]] > 1e-4:
+            assert g.lang_pred == model.langs[model.of[best[0]]]
