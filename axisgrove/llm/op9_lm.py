@@ -2,13 +2,17 @@
 
 1. Unigrams. Tasks count the hashes of their tokens and send the counts, packed and sorted, to the shard of each hash.
    From the merged counts come N, V and the hot tokens (more than a quarter of a shard's fair share; at most four a
-   shard).
+   shard). There is a shard for each SHARD_BYTES of text, so that they stay alike in size as the corpus grows, MOST at
+   most.
 2. Bigrams. Tasks count pairs and send them to the shard of the first word; the pairs of a hot first word are spread
    over as many shards as its count asks for. A shard's task merges the counts, writes the sorted pair hashes, their
    counts and each context's statistics to the shared folder, and sends on how many distinct words precede each word.
 3. The shards of the words write raw and continuation counts, sorted by hash.
-4. Scoring tasks memory-map the arrays and look tokens up by binary search. Only the discounts, totals and the hot
-   contexts' statistics (a few numbers a shard) pass through the driver.
+4. Scoring tasks memory-map the arrays and look tokens up by binary search; where the shared folder is not mounted they
+   read them, and hold a bounded number of bytes. The driver has the list of files, so a lost one raises. Only the
+   discounts, totals and the hot contexts' statistics (a few numbers a shard) pass through the driver.
+
+Merging tasks take their rows batch by batch and hold a shard's sums.
 
 Discounts come from the counts of counts of the order at hand (Chen and Goodman's three). The order is 2: a third
 order's counts would be several times the text, see the README.
@@ -23,13 +27,19 @@ text are not read.
 
 from __future__ import annotations
 
+import collections
 import io
+import json
+import math
+import mmap
 import os
 import sys
 import uuid
 import zlib
+from typing import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +51,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BEGIN, END = np.uint64(0x5BD1E995C6A4A793), np.uint64(0xD6E8FEB86659FD93)
 CHUNK = 3_000_000  # tokens that a task counts at once
+SHARD_BYTES, FEWEST, MOST = 32 << 20, 4, 32_768  # text a shard, and shards
+FOLD = 4_000_000  # pairs or words that a merging task gathers before it adds them up
 PACKED = "shard int, kind int, data binary"
 
 
@@ -69,40 +81,80 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def put(root: str, name: str, a: np.ndarray) -> None:
+def put(root: str, name: str, **arrays: np.ndarray) -> None:
+    """One file of several arrays, which appears whole or not at all: it is written under another name and renamed. All
+    attempts of a task write the same bytes."""
+    head, at, body = {}, 0, []
+    for k, v in arrays.items():
+        head[k] = (v.dtype.str, list(v.shape), at)
+        body.append(v.tobytes() + bytes(-v.nbytes % 64))
+        at += len(body[-1])
+    first = json.dumps(head).encode()
+    first += b" " * (-(8 + len(first)) % 64)
+    body = [len(first).to_bytes(8, "little"), first, *body]
+    part = f".{name}.{uuid.uuid4().hex}"
     if root.startswith("file:"):
-        path = "/" + root[5:].lstrip("/")
+        path = local(root)
         os.makedirs(path, exist_ok=True)
-        part = f"{path}/.{name}.{uuid.uuid4().hex}"
-        with open(part, "wb") as f:
-            np.save(f, a)
-        os.replace(part, f"{path}/{name}.npy")
+        with open(f"{path}/{part}", "wb") as f:
+            f.writelines(body)
+        os.replace(f"{path}/{part}", f"{path}/{name}")
     else:
         from pyarrow import fs
 
         store, path = fs.FileSystem.from_uri(root)
         store.create_dir(path, recursive=True)
-        body = io.BytesIO()
-        np.save(body, a)
-        with store.open_output_stream(f"{path}/{name}.npy") as f:
-            f.write(body.getvalue())
+        with store.open_output_stream(f"{path}/{part}") as f:
+            f.write(b"".join(body))
+        if store.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:
+            store.move(f"{path}/{part}", f"{path}/{name}")
+        else:
+            store.delete_file(f"{path}/{part}")
+
+
+def local(root: str) -> str:
+    return "/" + root[5:].lstrip("/")
 
 
-def get(root: str, name: str) -> np.ndarray:
-    """Memory-mapped where the shared folder is mounted, else read."""
+def get(root: str, name: str) -> tuple[dict[str, np.ndarray], int]:
+    """The arrays of a file, and the bytes of memory they take: none where the shared folder is mounted and the file is
+    mapped. A file that is not there raises."""
     if root.startswith("file:"):
-        path = "/" + root[5:].lstrip("/") + f"/{name}.npy"
-        if not os.path.exists(path):
-            return np.zeros(0, dtype=np.uint64)
-        a = np.load(path, mmap_mode="r") if os.path.getsize(path) > 200 else np.load(path)
-        return np.asarray(a)
-    from pyarrow import fs
+        with open(f"{local(root)}/{name}", "rb") as f:
+            data, taken = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), 0
+    else:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(f"{root}/{name}")
+        with store.open_input_file(path) as f:
+            data = f.read()
+        taken = len(data)
+    start = 8 + int.from_bytes(data[:8], "little")
+    head = json.loads(bytes(data[8:start]))
+    return {k: np.frombuffer(data, dtype=t, count=math.prod(shape), offset=start + at).reshape(shape) for k, (t, shape, at) in head.items()}, taken
 
-    store, path = fs.FileSystem.from_uri(f"{root}/{name}.npy")
-    if store.get_file_info(path).type == fs.FileType.NotFound:
-        return np.zeros(0, dtype=np.uint64)
-    with store.open_input_file(path) as f:
-        return np.load(io.BytesIO(f.read()))
+
+class Shelf:
+    """The files that a scoring task has open: at most MAPS, and at most HELD bytes of those that cannot be mapped; the
+    one used longest ago goes first."""
+
+    MAPS, HELD = 600, 256 << 20
+
+    def __init__(self, root: str, names: frozenset) -> None:
+        self.root, self.names, self.open, self.held = root, names, collections.OrderedDict(), 0
+
+    def look(self, name: str) -> dict[str, np.ndarray] | None:
+        """None for a shard that nothing was written for."""
+        if name not in self.names:
+            return None
+        if name in self.open:
+            self.open.move_to_end(name)
+        else:
+            self.open[name] = get(self.root, name)
+            self.held += self.open[name][1]
+            while len(self.open) > 1 and (len(self.open) > self.MAPS or self.held > self.HELD):
+                self.held -= self.open.popitem(last=False)[1][1]
+        return self.open[name][0]
 
 
 # --- tokens
@@ -153,8 +205,6 @@ def pair_shard(a: np.ndarray, b: np.ndarray, shards: int, hot: tuple[np.ndarray,
 
 
 def _rows(rows: list):
-    import pyarrow as pa
-
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "kind", "data"])
 
 
@@ -187,18 +237,46 @@ def count_unigrams(shards: int):
     return run
 
 
-def merge_unigrams(t):
-    import pyarrow as pa
+def unpacked(batches, kinds: tuple | None = None):
+    """(shard, kind, arrays) of packed rows, one by one."""
+    for batch in batches:
+        names = batch.schema.names
+        shards, data = batch.column(names.index("shard")), batch.column(names.index("data"))
+        kind = batch.column(names.index("kind"))
+        for i in range(batch.num_rows):
+            yield shards[i].as_py(), kind[i].as_py(), data[i].as_py()
+
 
-    parts = [unpack(x) for x in t["data"].to_pylist()]
-    k, c = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-    return pa.table({"shard": t["shard"][:1], "data": pa.array([pack(k, c)], pa.binary()), "tokens": pa.array([int(c.sum())]), "types": pa.array([len(k)])})
+class Sums:
+    """Sums of counts by hash, added up whenever FOLD of them have come together."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts, self.parts, self.n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.n += len(keys)
+        if self.n > FOLD:
+            self.result()
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.parts:
+            parts = [(self.keys, self.counts), *self.parts]
+            self.parts, self.n = [], 0
+            self.keys, self.counts = summed(np.concatenate([k for k, _ in parts]), np.concatenate([c.astype(np.uint64) for _, c in parts]))
+        return self.keys, self.counts
+
+
+def merge_unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums, shard = Sums(), 0
+    for shard, _, data in unpacked(batches):
+        sums.add(*unpack(data))
+    k, c = sums.result()
+    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([pack(k, c)], pa.binary()), pa.array([int(c.sum())]), pa.array([len(k)])], names=["shard", "data", "tokens", "types"])
 
 
 def hot_tokens(least: int):
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 k, c = unpack(data)
@@ -251,23 +329,27 @@ def counts_of_counts(c: np.ndarray) -> list[int]:
 
 
 def merge_bigrams(root: str, shards: int, hot: tuple[np.ndarray, np.ndarray]):
-    def run(t):
-        shard = t["shard"][0].as_py()
-        firsts, seconds, counts = [], [], []
-        for x in t["data"].to_pylist():
-            keys, runs, c = unpack(x)
-            firsts.append(np.repeat(keys[: len(runs)], runs))
-            seconds.append(keys[len(runs) :])
-            counts.append(c.astype(np.uint64))
-        a, b, c = np.concatenate(firsts), np.concatenate(seconds), np.concatenate(counts)
-        key = pair_key(a, b)
-        order = np.argsort(key)
-        key, a, b, c = key[order], a[order], b[order], c[order]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        c = np.add.reduceat(c, at)
-        key, a, b = key[at], a[at], b[at]
-        put(root, f"pair{shard}", key)
-        put(root, f"count{shard}", c.astype(np.min_scalar_type(int(c.max()))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts, n = tuple(np.zeros(0, dtype=np.uint64) for _ in range(4)), [], 0
+
+        def added() -> tuple:
+            key, a, b, c = (np.concatenate([h, *p]) for h, p in zip(held, zip(*parts))) if parts else held
+            order = np.argsort(key)
+            key, a, b, c = key[order], a[order], b[order], c[order]
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            return key[at], a[at], b[at], np.add.reduceat(c, at)
+
+        shard = 0
+        for shard, _, data in unpacked(batches):
+            keys, runs, c = unpack(data)
+            a, b = np.repeat(keys[: len(runs)], runs), keys[len(runs) :]
+            parts.append((pair_key(a, b), a, b, c.astype(np.uint64)))
+            n += len(a)
+            if n > FOLD:
+                held, parts, n = added(), [], 0
+        key, a, b, c = added()
+        del held, parts
+        pair = {"key": key, "count": c.astype(np.min_scalar_type(int(c.max())))}
         # contexts: total, and the numbers of words seen once, twice and more often
         order = np.argsort(a)
         a, ca = a[order], c[order]
@@ -275,38 +357,32 @@ def merge_bigrams(root: str, shards: int, hot: tuple[np.ndarray, np.ndarray]):
         stats = np.stack([np.add.reduceat(x.astype(np.uint64), at) for x in (ca, ca == 1, ca == 2, ca >= 3)], axis=1)
         first = a[at]
         is_hot = np.isin(first, hot[0])
-        put(root, f"context{shard}", first[~is_hot])
-        put(root, f"stats{shard}", stats[~is_hot].astype(np.min_scalar_type(int(stats[~is_hot].max()) if (~is_hot).any() else 0)))
+        put(root, f"pair{shard}", **pair, context=first[~is_hot], stats=stats[~is_hot].astype(np.min_scalar_type(int(stats[~is_hot].max()) if (~is_hot).any() else 0)))
         words, preceding = summed(b)
         cut = _cut(words, shards)
         rows = [(s, 2, pack(words[cut[s] : cut[s + 1]], preceding[cut[s] : cut[s + 1]])) for s in range(shards) if cut[s] < cut[s + 1]]
         rows.append((-1 - shard, 3, pack(first[is_hot], stats[is_hot].reshape(-1), np.array(counts_of_counts(c), dtype=np.uint64))))
-        import pyarrow as pa
-
-        return pa.Table.from_batches([_rows(rows)])
+        yield _rows(rows)
 
     return run
 
 
 def write_words(root: str):
-    def run(t):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Raw counts (kind 0) and continuation counts (2) of a shard's words; statistics (3) pass through."""
-        import pyarrow as pa
-
-        shard = t["shard"][0].as_py()
+        sums, shard = {0: Sums(), 2: Sums()}, 0
+        for shard, kind, data in unpacked(batches):
+            if kind == 3:
+                yield _rows([(shard, kind, data)])
+            else:
+                sums[kind].add(*unpack(data))
         if shard < 0:
-            return pa.table({"shard": t["shard"], "kind": t["kind"], "data": t["data"]})
-        parts: dict = {0: [], 2: []}
-        for kind, x in zip(t["kind"].to_pylist(), t["data"].to_pylist()):
-            parts[kind].append(unpack(x))
-        none = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64))
-        raw, cont = (summed(np.concatenate([p[0] for p in parts[k]]), np.concatenate([p[1] for p in parts[k]])) if parts[k] else none for k in (0, 2))
+            return
+        raw, cont = sums[0].result(), sums[2].result()
         both = np.zeros(len(raw[0]), dtype=np.uint64)
         both[np.searchsorted(raw[0], cont[0])] = cont[1]
-        put(root, f"word{shard}", raw[0])
-        put(root, f"raw{shard}", raw[1].astype(np.min_scalar_type(int(raw[1].max()))))
-        put(root, f"cont{shard}", both.astype(np.min_scalar_type(int(both.max()))))
-        return pa.Table.from_batches([_rows([(shard, 4, pack(np.zeros(0, dtype=np.uint64), np.array([*counts_of_counts(both), int(both.sum()), int((both >= 3).sum())], dtype=np.uint64)))])])
+        put(root, f"word{shard}", word=raw[0], raw=raw[1].astype(np.min_scalar_type(int(raw[1].max()))), cont=both.astype(np.min_scalar_type(int(both.max()))))
+        yield _rows([(shard, 4, pack(np.zeros(0, dtype=np.uint64), np.array([*counts_of_counts(both), int(both.sum()), int((both >= 3).sum())], dtype=np.uint64)))])
 
     return run
 
@@ -322,13 +398,14 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """What scoring needs beside the files: totals, discounts and the hot contexts' statistics."""
+    """What scoring needs beside the files: their names, totals, discounts and the hot contexts' statistics."""
 
     def __init__(self, root: str, shards: int, n: int, v: int, hot: tuple, rows: list) -> None:
         self.root, self.shards, self.n, self.v, self.hot = root, shards, n, v, hot
         self.hot_stats = np.zeros((len(hot[0]), 4))
+        self.files = frozenset(f"pair{-1 - shard}" if kind == 3 else f"word{shard}" for shard, kind, _ in rows)
         bi, uni = np.zeros(4), np.zeros(6)
-        for kind, data in rows:
+        for _, kind, data in rows:
             if kind == 3:
                 h, stats, counts = unpack(data)
                 np.add.at(self.hot_stats, np.searchsorted(hot[0], h), stats.reshape(-1, 4).astype(float))
@@ -339,47 +416,42 @@ class Model:
         self.pairs = float(uni[4])
         self.gamma1 = float((self.d1 * [uni[0], uni[1], uni[5]]).sum() / self.pairs) if self.pairs else 1.0
 
-    def look(self, kind: str, shard: int, cache: dict) -> np.ndarray:
-        if (kind, shard) not in cache:
-            cache[kind, shard] = get(self.root, f"{kind}{shard}")
-        return cache[kind, shard]
-
-    def find(self, keys: np.ndarray, shards: np.ndarray, index: str, values: tuple, width: int, cache: dict) -> np.ndarray:
+    def find(self, keys: np.ndarray, shards: np.ndarray, file: str, index: str, values: tuple, width: int, shelf: Shelf) -> np.ndarray:
         """The values of keys (0 where there is none), shard by shard."""
         out = np.zeros((len(keys), width))
         order = np.argsort(shards, kind="stable")
         cut = np.searchsorted(shards[order], np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(cut)):
-            has = self.look(index, s, cache)
-            if len(has):
+            has = shelf.look(f"{file}{s}")
+            if has and len(has[index]):
                 rows = order[cut[s] : cut[s + 1]]
-                at = np.minimum(np.searchsorted(has, keys[rows]), len(has) - 1)
-                hit = has[at] == keys[rows]
+                at = np.minimum(np.searchsorted(has[index], keys[rows]), len(has[index]) - 1)
+                hit = has[index][at] == keys[rows]
                 for k, name in enumerate(values):
-                    got = self.look(name, s, cache)[at[hit]]
+                    got = has[name][at[hit]]
                     if got.ndim == 2:
                         out[rows[hit]] = got
                     else:
                         out[rows[hit], k] = got
         return out
 
-    def score(self, data: np.ndarray, offsets: np.ndarray, cache: dict) -> tuple:
+    def score(self, data: np.ndarray, offsets: np.ndarray, shelf: Shelf) -> tuple:
         """(tokens, known tokens, base score, model score) of each row."""
         tok, before, starts = tokens(data, offsets)
         words, of = np.unique(tok, return_inverse=True)
-        raw, cont = self.find(words, shard_of(words, self.shards), "word", ("raw", "cont"), 2, cache).T
+        raw, cont = self.find(words, shard_of(words, self.shards), "word", "word", ("raw", "cont"), 2, shelf).T
         base = np.log10((raw + 1) / (self.n + self.v + 1))[of]
         back = lambda c, d: np.maximum(c - np.where(c <= 0, 0, d[np.clip(c, 1, 3).astype(int) - 1]), 0)
         p1 = ((back(cont, self.d1) / self.pairs if self.pairs else 0) + self.gamma1 / (self.v + 1))[of]
         heads, at = np.unique(before, return_inverse=True)
-        stats = self.find(heads, shard_of(tokens_np.mix(heads), self.shards), "context", ("stats",), 4, cache)
+        stats = self.find(heads, shard_of(tokens_np.mix(heads), self.shards), "pair", "context", ("stats",), 4, shelf)
         if len(self.hot[0]):
             k = np.minimum(np.searchsorted(self.hot[0], heads), len(self.hot[0]) - 1)
             is_hot = self.hot[0][k] == heads
             stats[is_hot] = self.hot_stats[k[is_hot]]
         total = stats[:, 0]
         gamma = np.where(total > 0, (stats[:, 1:] * self.d2).sum(axis=1) / np.maximum(total, 1), 1.0)
-        c = self.find(pair_key(before, tok), pair_shard(before, tok, self.shards, self.hot), "pair", ("count",), 1, cache)[:, 0]
+        c = self.find(pair_key(before, tok), pair_shard(before, tok, self.shards, self.hot), "pair", "key", ("count",), 1, shelf)[:, 0]
         p = back(c, self.d2) / np.maximum(total, 1)[at] + gamma[at] * p1
         add = lambda x: np.add.reduceat(x, starts[:-1])
         return np.diff(starts), add((raw > 0).astype(np.int64)[of]), add(base), add(np.log10(p))
@@ -391,8 +463,9 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     root = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
     if ":" not in root.split("/")[0]:
         root = "file://" + root
-    shards = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(F.col(text_col).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = min(MOST, max(FEWEST, -(-size // SHARD_BYTES)))
     uni = texts.mapInArrow(count_unigrams(shards), PACKED).groupBy("shard").applyInArrow(merge_unigrams, "shard int, data binary, tokens bigint, types bigint")
     uni.write.parquet(f"{root}/unigrams")
     uni = spark.read.schema(uni.schema).parquet(f"{root}/unigrams")
@@ -402,17 +475,15 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     hot = (np.array([h for h, _ in found], dtype=np.uint64), np.array([min(shards, 1 + c * shards // n) for _, c in found], dtype=np.uint64))
     pairs = texts.mapInArrow(count_bigrams(shards, hot), PACKED).groupBy("shard").applyInArrow(merge_bigrams(f"{root}/files", shards, hot), PACKED)
     done = pairs.unionByName(uni.select("shard", F.lit(0).alias("kind"), "data")).groupBy("shard").applyInArrow(write_words(f"{root}/files"), PACKED)
-    return Model(f"{root}/files", shards, n, v, hot, [(r["kind"], bytes(r["data"])) for r in done.orderBy("shard").collect()])
+    return Model(f"{root}/files", shards, n, v, hot, sorted((r["shard"], r["kind"], bytes(r["data"])) for r in done.collect()))
 
 
 def scorer(model: Model):
     def run(batches):
-        import pyarrow as pa
-
-        cache: dict = {}
+        shelf = Shelf(model.root, model.files)
         for batch in batches:
             for lo, hi, data, offsets in tokens_np.pieces(batch.column(1), 3_000_000):
-                n, known, base, score = model.score(data, offsets, cache)
+                n, known, base, score = model.score(data, offsets, shelf)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return run

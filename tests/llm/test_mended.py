@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import collections
 import math
+import os
 import random
 import zlib
 
 import numpy as np
-from axisgrove.llm import common, op2_pii, op6_quality, op10_language
+import pytest
+from axisgrove.llm import common, op2_pii, op6_quality, op9_lm, op10_language
 from test_brute import SF, base_spans
 
 # 2
@@ -112,3 +114,41 @@ def test_op10_is_the_nearest_centroid(spark):
         assert abs(g.score - min(1, cos[best[0]])) < 1e-4
         if cos[best[0]] - cos[best[1]] > 1e-4:
             assert g.lang_pred == model.langs[model.of[best[0]]]
+
+
+# 9
+
+
+def test_op9_lost_files_raise(spark, tmp_path):
+    d = spark.createDataFrame([(i, f"a text of {i % 7} words and {i} more") for i in range(50)], "doc_id long, text string")
+    model = op9_lm.train(d)
+    assert op9_lm.score(d, model).count() == 50
+    folder = op9_lm.local(model.root)
+    os.remove(f"{folder}/{sorted(model.files)[0]}")
+    with pytest.raises(Exception, match="No such file"):
+        op9_lm.score(d, model).collect()
+
+
+def test_op9_files(tmp_path):
+    root = f"file://{tmp_path}/x"
+    a, b = np.arange(9, dtype=np.uint64), np.arange(8, dtype=np.uint8).reshape(2, 4)
+    op9_lm.put(root, "f", a=a, b=b, none=np.zeros(0, dtype=np.uint64))
+    got, taken = op9_lm.get(root, "f")
+    assert taken == 0 and (got["a"] == a).all() and (got["b"] == b).all() and len(got["none"]) == 0 and os.listdir(tmp_path / "x") == ["f"]
+    for k in range(5):
+        op9_lm.put(root, f"f{k}", a=a)
+    shelf = op9_lm.Shelf(root, frozenset(f"f{k}" for k in range(5)))
+    shelf.MAPS = 2
+    assert [len(shelf.look(f"f{k}")["a"]) for k in (0, 1, 2, 3, 4, 0)] == [9] * 6 and len(shelf.open) == 2 and shelf.look("g") is None
+
+
+def test_op9_folds_in_parts(spark, monkeypatch):
+    """Sums do not depend on how much is gathered at a time."""
+    rng = random.Random(9)
+    d = spark.createDataFrame([(i, " ".join(rng.choice("abcdefg") * rng.randint(1, 3) for _ in range(60))) for i in range(300)], "doc_id long, text string")
+    a = op9_lm.score(d, op9_lm.train(d)).orderBy("doc_id").collect()
+    monkeypatch.setattr(op9_lm, "FOLD", 20)
+    monkeypatch.setattr(op9_lm, "CHUNK", 500)
+    monkeypatch.setattr(op9_lm, "SHARD_BYTES", 1000)
+    b = op9_lm.score(d, op9_lm.train(d)).orderBy("doc_id").collect()
+    assert all(x.n_known == y.n_known and math.isclose(x.score, y.score, rel_tol=1e-12) for x, y in zip(a, b))
