@@ -14,15 +14,19 @@ Text: character references are decoded, white space inside a block becomes one s
 page order by one space.
 
 Defined results: null or empty html has empty text; a page without any block that is kept has empty text; markup that
-never closes ends with the page; repeated rows are judged row by row; an empty table gives an empty result; columns
+never closes ends with the page, and only a comment or one of HTML's raw-text elements that does takes the rest of the
+page with it; whatever attributes a page has, the training marker among them, it is parsed alike; the time for a page is
+linear in its length; repeated rows are judged row by row; an empty table gives an empty result; columns
 other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 import sys
+from collections import Counter
 
 import numpy as np
 from pyspark import cloudpickle
@@ -35,9 +39,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # HTML's element kinds.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title svg iframe select button object math canvas audio video".split())
+RAW = set("script style noscript template textarea title iframe xmp noembed noframes".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
-CLOSED_BY = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSED_BY = {"button": {"button"}, "select": {"select"}, "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure".split())
 SCOPES = set("ul ol table dl body html article section div main aside nav header footer form blockquote".split())
 
@@ -54,112 +58,158 @@ GOOD = "article content post entry story text body main page-content blog news s
 HINT = {t: i for i, ts in enumerate(BAD.values()) for t in ts}
 GOOD_SET = set(GOOD)
 TAGS = ("nav", "header", "footer", "aside", "form", "ul", "li", "article", "main", "section", "div", "p", "h", "table", "quote")
-TAG_OF = {**{t: i for i, t in enumerate(TAGS)}, "ol": 5, "dl": 5, "dd": 6, "dt": 6, **{f"h{k}": 12 for k in range(1, 7)}, "tr": 13, "td": 13, "th": 13, "tbody": 13, "blockquote": 14, "pre": 14, "figure": 14, "figcaption": 14, "fieldset": 4, "body": 10, "html": 10, "center": 10}
+TAG_OF = {**{t: i for i, t in enumerate(TAGS)}, "ol": 5, "dl": 5, "dd": 6, "dt": 6, **{f"h{k}": 12 for k in range(1, 7)}, "tr": 13, "td": 13, "th": 13, "tbody": 13, "blockquote": 14, "pre": 14, "figure": 14, "figcaption": 14, "fieldset": 4, "button": 4, "select": 4, "option": 4, "body": 10, "html": 10, "center": 10}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|data-truth)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|data-truth)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
+ZEROS, HUGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
+
+
+def unescaped(text: str) -> str:
+    """Character references decoded; numbers far beyond the last character, of any length, are replacement characters."""
+    if "&#" in text:
+        text = HUGE.sub("\ufffd", ZEROS.sub("&#", text))
+    return entities.unescape(text) if "&" in text else text
+
+
+class Open:
+    """The open elements. Tags inside a block, and inside a scope, are counted, so that a tag which closes nothing costs
+    no walk over the stack: parsing is linear in the page."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = [("html-root", 0)]
+        self.open: Counter = Counter()
+        self.inline: list[Counter] = [Counter()]  # of each block that is open
+        self.scope: list[Counter] = [Counter()]
+        self.linked = 0
+
+    def push(self, name: str, node: int) -> None:
+        self.stack.append((name, node))
+        self.open[name] += 1
+        self.linked += name == "a"
+        if name in INLINE:
+            self.inline[-1][name] += 1
+        else:
+            self.inline.append(Counter())
+        self.scope[-1][name] += 1
+        if name in SCOPES:
+            self.scope.append(Counter())
+
+    def pop_to(self, names) -> bool:
+        """Closes the last element of one of the names and all inside it; whether that closed a block."""
+        block = False
+        while True:
+            name, _ = self.stack.pop()
+            if name in SCOPES:
+                self.scope.pop()
+            self.scope[-1][name] -= 1
+            if name in INLINE:
+                self.inline[-1][name] -= 1
+            else:
+                self.inline.pop()
+                block = True
+            self.open[name] -= 1
+            self.linked -= name == "a"
+            if name in names:
+                return block
+
+    def close(self, name: str) -> bool:
+        """An end tag: an inline element is closed only inside its own block."""
+        return self.pop_to({name}) if (self.inline[-1] if name in INLINE else self.open)[name] > 0 else False
+
+    def imply(self, closes: set) -> None:
+        """A start tag that ends elements of these names, inside the scope."""
+        if any(self.scope[-1][t] > 0 for t in closes):
+            self.pop_to(closes)
+
+
+END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW} | {"head": re.compile(r"</head\b[^>]*>|<body\b", re.I)}
 
 
 class Page:
     """Nodes in page order (0: the root) and the pieces of text between breaks."""
 
-    def __init__(self, source: str) -> None:
+    def __init__(self, source: str, training: bool = False) -> None:
         self.tag, self.parent, self.hint, self.good, self.truth = [len(TAGS)], [-1], [-1], [0], [0]
         self.own, self.links, self.anchors = [0], [0], [0]
         self.pieces: list[tuple[int, str, bool]] = []  # node, text, whether a block begins before it
-        stack: list[tuple[str, int]] = [("html-root", 0)]
-        at, fresh, linked, n = 0, True, 0, len(source)
-
-        def text(raw: str) -> None:
-            nonlocal fresh
-            if raw and not (raw.isspace() and fresh):
-                t = entities.unescape(raw) if "&" in raw else raw
-                node = stack[-1][1]
-                size = len(t) - sum(map(t.count, " \n\t\r"))
-                self.own[node] += size
-                if linked:
-                    self.links[node] += size
-                self.pieces.append((node, t, fresh))
-                fresh = False
-
-        while at < n:
-            m = TOKEN.search(source, at)
+        self.fresh, around = True, Open()
+        at, last, ends = 0, source.rfind(">"), {}
+        while at <= last:
+            m = TOKEN.search(source, at, last + 1)
             if not m:
-                text(source[at:])
                 break
-            text(source[at : m.start()])
+            self.read(source[at : m.start()], around)
             at = m.end()
-            name = m.group(2) or m.group(5)
+            name = (m.group(2) or m.group(5) or "").lower()
+            rest = m.group(3) or m.group(6) or ""
             if not name:
-                continue
-            name, closing, rest = name.lower(), m.group(1) or m.group(4), m.group(3) or m.group(6) or ""
-            if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        if name not in INLINE or all(t in INLINE for t, _ in stack[k:]):
-                            linked -= sum(t == "a" for t, _ in stack[k:])
-                            fresh = fresh or any(t not in INLINE for t, _ in stack[k:])
-                            del stack[k:]
-                        break
-                    if name in INLINE and stack[k][0] not in INLINE:
-                        break
-                if name not in INLINE:
-                    fresh = True
-                continue
-            if name in VOID:
-                fresh = fresh or name in ("br", "hr")
-                continue
-            if name in RAW or name == "head":
+                # a comment that never ends takes the rest
+                at = len(source) if m.group().startswith("<!--") and not m.group().endswith("-->") else at
+            elif m.group(1) or m.group(4):
+                block = around.close(name)
+                self.fresh = self.fresh or block or name not in INLINE
+            elif name in VOID:
+                self.fresh = self.fresh or name in ("br", "hr")
+            elif name in RAW or name == "head":
                 if not rest.endswith("/") or name in ("script", "style"):
-                    end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at) if name != "head" else re.compile(r"</head\b[^>]*>|<body\b", re.I).search(source, at)
+                    if ends.get(name, 0) is not None:
+                        ends[name] = END[name].search(source, at)
+                    end = ends[name]
                     # a head that never ends holds nothing but what belongs there
                     if end:
                         at = end.start() if end.group().lower().startswith("<body") else end.end()
                     elif name != "head":
-                        at = n
-                fresh = fresh or name not in ("svg", "button", "select")
-                continue
-            if name not in INLINE:
-                fresh = True
-                closes = CLOSED_BY.get(name, set()) | ({"p"} if name in CLOSES_P else set())
-                for k in range(len(stack) - 1, 0, -1):
-                    t = stack[k][0]
-                    if t in closes:
-                        linked -= sum(x == "a" for x, _ in stack[k:])
-                        del stack[k:]
-                        break
-                    if t in SCOPES:
-                        break
-            hint, good, truth = -1, 0, self.truth[stack[-1][1]]
-            if "=" in rest:
-                for key, a, b, c in ATTRIBUTE.findall(rest):
-                    value = (a or b or c).lower()
-                    if key.lower() == "data-truth":
-                        truth = int(value)
-                        continue
-                    for token in re.split(r"[\s_]+", value):
-                        for part in {token, *token.split("-")}:
-                            if part in HINT:
-                                hint = HINT[part]
-                            elif part in GOOD_SET:
-                                good = 1
-            node = stack[-1][1]
-            if name == "a":
-                linked += 1
-                self.anchors[node] += 1
-            if name not in INLINE or hint >= 0:
-                self.tag.append(TAG_OF.get(name, len(TAGS)))
-                self.parent.append(node)
-                self.hint.append(hint)
-                self.good.append(good)
-                self.truth.append(truth)
-                self.own.append(0)
-                self.links.append(0)
-                self.anchors.append(0)
-                node = len(self.tag) - 1
-            if not rest.endswith("/"):
-                stack.append((name, node))
+                        at = len(source)
+                self.fresh = True
+            else:
+                self.start(name, rest, around, training)
+        self.read(source[at:], around)
+
+    def read(self, raw: str, around: Open) -> None:
+        if raw and not (raw.isspace() and self.fresh):
+            t = unescaped(raw)
+            node = around.stack[-1][1]
+            size = len(t) - sum(map(t.count, " \n\t\r"))
+            self.own[node] += size
+            if around.linked:
+                self.links[node] += size
+            self.pieces.append((node, t, self.fresh))
+            self.fresh = False
+
+    def start(self, name: str, rest: str, around: Open, training: bool) -> None:
+        if name not in INLINE:
+            self.fresh = True
+            around.imply(CLOSED_BY.get(name, set()) | ({"p"} if name in CLOSES_P else set()))
+        node = around.stack[-1][1]
+        hint, good, truth = -1, 0, self.truth[node]
+        if "=" in rest:
+            for key, a, b, c in ATTRIBUTE.findall(rest):
+                value = (a or b or c).lower()
+                if key.lower() == "data-truth":
+                    truth = int(value) if training else truth
+                    continue
+                for token in re.split(r"[\s_]+", value):
+                    for part in {token, *token.split("-")}:
+                        if part in HINT:
+                            hint = HINT[part]
+                        elif part in GOOD_SET:
+                            good = 1
+        if name == "a":
+            self.anchors[node] += 1
+        if name not in INLINE or hint >= 0:
+            self.tag.append(TAG_OF.get(name, len(TAGS)))
+            self.parent.append(node)
+            self.hint.append(hint)
+            self.good.append(good)
+            self.truth.append(truth)
+            self.own.append(0)
+            self.links.append(0)
+            self.anchors.append(0)
+            node = len(self.tag) - 1
+        if not rest.endswith("/"):
+            around.push(name, node)
 
     def features(self) -> np.ndarray:
         n = len(self.tag)
@@ -374,9 +424,11 @@ def generated(rng: np.random.Generator) -> str:
     return f"<!DOCTYPE html><html><head><title>{words(1, 8)}</title><style>p{{margin:0}}</style><script>var t=\"</p>\";</script></head><body>{page}" + ("</body></html>" if chance(0.9) else "")
 
 
+@functools.lru_cache
 def fit(pages: int = TRAIN_PAGES, seed: int = 3) -> Boosted:
+    """The same trees for the same arguments, so a process fits them once."""
     rng = np.random.default_rng(seed)
-    trees = [Page(generated(rng)) for _ in range(pages)]
+    trees = [Page(generated(rng), training=True) for _ in range(pages)]
     return Boosted(np.concatenate([t.features() for t in trees]), np.concatenate([np.array(t.truth, dtype=float) for t in trees]))
 
 

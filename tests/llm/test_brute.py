@@ -163,7 +163,7 @@ def test_op3_pages_and_generated(spark):
     rng, exact = np.random.default_rng(4321), 0
     for _ in range(100):
         source = op3_html.generated(rng)
-        page = op3_html.Page(source)
+        page = op3_html.Page(source, training=True)
         exact += page.text(np.array(page.truth) == 1) == op3_html.main_text(source, model)
     assert exact >= 95
 

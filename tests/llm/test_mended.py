@@ -6,11 +6,12 @@ import collections
 import math
 import os
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
-from axisgrove.llm import common, op2_pii, op6_quality, op9_lm, op10_language
+from axisgrove.llm import common, op2_pii, op3_html, op6_quality, op9_lm, op10_language
 from test_brute import SF, base_spans
 
 # 2
@@ -152,3 +153,34 @@ def test_op9_folds_in_parts(spark, monkeypatch):
     monkeypatch.setattr(op9_lm, "SHARD_BYTES", 1000)
     b = op9_lm.score(d, op9_lm.train(d)).orderBy("doc_id").collect()
     assert all(x.n_known == y.n_known and math.isclose(x.score, y.score, rel_tol=1e-12) for x, y in zip(a, b))
+
+
+# 3
+
+
+@pytest.mark.parametrize("name, source", [
+    ("open tags", "<a " * 200_000), ("mixed", "<b></i>" * 60_000), ("barrier", "<i><p>" + "<b>" * 60_000 + "</i>" * 60_000), ("headings", "<div>" + "<b>" * 50_000 + "<h1>x" * 50_000),
+    ("quotes", "<a '\">" * 60_000), ("one quote", '<a ">' * 59_999), ("deep", "<div>" * 60_000 + "x"), ("comments", "<!-- >" * 60_000), ("scripts", "<script>" * 60_000), ("heads", "<head>" * 60_000),
+    ("ends", "</div>" * 100_000), ("references", "&#" * 100_000), ("digits", "&#" + "9" * 50_000 + ";"), ("attributes", "<p " + "class=" * 60_000 + ">"), ("declarations", "<!" * 200_000), ("deep ends", "<ul><li>" * 30_000 + "</p>" * 60_000)])
+def test_op3_hostile_pages_are_linear(name, source):
+    began = time.perf_counter()
+    page = op3_html.Page(source)
+    op3_html.decoded(page.parent, page.weights(), np.full(len(page.tag), 0.5))
+    assert time.perf_counter() - began < 8, name
+
+
+def test_op3_the_training_marker_is_an_attribute_like_others(spark):
+    html = '<article data-truth="yes"><h1>T</h1><p>Some words of the text here.</p></article>'
+    pages = spark.createDataFrame([(1, "u", html), (2, "u", html.replace(' data-truth="yes"', "")), (3, "u", html.replace('"yes"', '"0"'))], "page_id long, url string, html string")
+    assert len({r.text for r in op3_html.extract(pages).collect()}) == 1
+
+
+def test_op3_unclosed_widgets_leave_the_article():
+    model = op3_html.fit()
+    p = "<p>" + "A sentence of the article that is long enough to be one. " * 4 + "</p>"
+    body = f"<article><h1>Title of it</h1>{p}{p}<p>Where <math><mi>x</mi></math> is large, {'it is so and so on. ' * 5}</p>{p}</article><footer>&copy; someone</footer>"
+    want = op3_html.main_text("<html><body>" + body.replace("<math><mi>x</mi></math>", "x"), model)
+    assert want.startswith("Title of it A sentence") and "someone" not in want
+    for start in ('<nav><ul><li><a href=/x>One</a></li><li><button>Menu</li></ul></nav>', '<div class="notice"><select><option>A<option>B</div>', '<nav><svg><a href=/>Home</nav>', ""):
+        got = op3_html.main_text("<html><body>" + start + body, model)
+        assert got.replace(" ", "") == want.replace(" ", ""), start
