@@ -1,8 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule's cost and rejection rate are estimated on a sample; the cascade then runs the rules in the order
-of rejections per second, and a document stops at its first failed rule. The order never changes a verdict,
-only what it costs. Everything is Spark SQL inside one scan: no shuffle.
+Each rule's cost and selectivity are estimated on a sample; the cascade then runs the rules in the order of rejections
+per cost, and a document stops at its first failed rule. A cost is work, not time: the characters and words of the
+sample that the rule and those metrics have to go through which no rule before it has asked for, each at its UNIT.
+So a metric is charged to the first rule that needs it, and reruns agree on the order and on each document's first
+failed rule. A rule's rejections are those of documents which the rules before it let pass. The order never changes a
+verdict, only what it costs. Everything is Spark SQL inside one scan: no shuffle.
 
 Defined results: null text counts as empty; an empty text has no words and so fails `few_words`; repeated
 rows and ids are judged row by row; an empty table gives an empty result. Only the id and text columns are
@@ -11,13 +14,13 @@ read, so that other columns can have any name.
 
 from __future__ import annotations
 
-import time
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, lets, rows_of, table, words_sql
+from .common import lets, rows_of, table, words_sql
 
 
 def repeat_words_sql(w: str, n: int = 5) -> str:
@@ -50,12 +53,26 @@ METRICS = {
 BASE_FAILED = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
 
 
+#: What a metric or test goes through, as (units a character, units a word). A unit is about a nanosecond of one core,
+#: as measured once, on one core over 25 million characters, and rounded; only the ratios matter.
+UNITS = {
+    "n_words": (0.0, 2.0), "word_chars": (7.0, 0.0), "n_symbols": (9.0, 0.0), "n_dup_lines": (8.0, 0.0), "n_repeat_words": (0.0, 770.0),
+    "split": (3.0, 0.0), "cases": (0.0, 180.0), "letters": (0.0, 160.0), "ends": (0.0, 50.0),
+}
+
+
 @dataclass(frozen=True)
 class Rule:
-    """A document fails the rule where `fails` (SQL over text, w and the metrics) is true."""
+    """A document fails the rule where `fails` (SQL over text, w and the metrics) is true. `work` names the UNITS of what
+    it goes through itself, beside its metrics."""
 
     name: str
     fails: str
+    work: tuple[str, ...] = ()
+
+    @property
+    def metrics(self) -> tuple[str, ...]:
+        return tuple(m for m in METRICS if re.search(rf"\b{m}\b", self.fails))
 
 
 #: The production rules. Limits are wide of what prose in any language shows.
@@ -63,11 +80,11 @@ RULES = (
     Rule("few_words", "n_words < 10"),
     Rule("repeated_windows", "100 * n_repeat_words > 20 * n_words"),
     Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("duplicate_lines", r"10 * n_dup_lines > 3 * greatest(1, size(split(text, '\n')))"),
+    Rule("duplicate_lines", r"10 * n_dup_lines > 3 * greatest(1, size(split(text, '\n')))", ("split",)),
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 18 * n_words"),
-    Rule("shouting", "n_words > 0 and 2 * size(filter(w, x -> x = upper(x) and x <> lower(x))) > n_words"),
-    Rule("not_words", "n_words > 0 and 10 * size(filter(w, x -> x rlike '\\\\p{L}')) < 7 * n_words"),
-    Rule("exclaiming", "n_words > 0 and 5 * size(filter(w, x -> endswith(x, '!'))) > n_words"),
+    Rule("shouting", "n_words > 0 and 2 * size(filter(w, x -> x = upper(x) and x <> lower(x))) > n_words", ("cases",)),
+    Rule("not_words", "n_words > 0 and 10 * size(filter(w, x -> x rlike '\\\\p{L}')) < 7 * n_words", ("letters",)),
+    Rule("exclaiming", "n_words > 0 and 5 * size(filter(w, x -> endswith(x, '!'))) > n_words", ("ends",)),
 )
 
 
@@ -78,29 +95,36 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return base.select("doc_id", "text", "w", *(F.expr(e).alias(k) for k, e in METRICS.items()))
 
 
-def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, seed: int = 5) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, rejection rate) on a random sample of about sample_rows rows, best rejection per cost first.
+def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[Rule, float, float]]:
+    """(rule, cost a document, share of the documents that reach it which it rejects) in the cascade's order, from a
+    sample of about sample_rows documents, chosen by hash. The sample decides only the order of evaluation.
 
-    The sample decides only the order of evaluation. A rule's seconds are those of a projection that yields its
-    verdict, less those of a projection that yields nothing.
+    Counts of the rules' verdicts on it, at most 2^rules rows and sample_rows, are all that reaches the driver.
     """
     n = rows_of(docs)
     if not n:
         return [(r, 0.0, 0.0) for r in rules]
-    scratch = Scratch(docs.sparkSession, "rules-sample")
-    sample = scratch.keep(measured(docs.sample(min(1.0, sample_rows / n), seed)).coalesce(1), "sample")
-
-    def seconds(*cols) -> float:
-        began = time.perf_counter()
-        sample.select(*cols).write.format("noop").mode("overwrite").save()
-        return time.perf_counter() - began
-
-    seconds("doc_id")
-    nothing = min(seconds("doc_id") for _ in range(2))
-    rate = sample.agg(*(F.avg(F.expr(f"cast({r.fails} as int)")).alias(r.name) for r in rules)).first()
-    out = [(r, max(1e-4, seconds(F.expr(r.fails)) - nothing), rate[r.name] or 0.0) for r in rules]
-    scratch.drop()
-    return sorted(out, key=lambda x: (-x[2] / x[1], x[0].name))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # by the text as well, since ids may repeat; thresholds on the whole hash, so that no share is too small
+    most = (1 << 63) - 1 if n <= sample_rows else int((1 << 64) * (sample_rows / n)) - (1 << 63)
+    verdicts = measured(d.where(F.xxhash64(F.lit(5), "doc_id", "text") <= F.lit(most)))
+    verdicts = verdicts.select(F.length("text").alias("chars"), "n_words", *(F.expr(f"coalesce({r.fails}, false)").alias(f"r{k}") for k, r in enumerate(rules)))
+    seen = verdicts.groupBy(*(f"r{k}" for k in range(len(rules)))).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("n_words").alias("words")).collect()
+    out, paid, left = [], set(), list(range(len(rules)))
+    while left:
+        ranked = []
+        for k in left:
+            needs = [*(m for m in rules[k].metrics if m not in paid), *rules[k].work]
+            rows = sum(r["n"] for r in seen)
+            cost = sum(UNITS[x][0] * r["chars"] + UNITS[x][1] * r["words"] for x in needs for r in seen) / max(rows, 1) + 1
+            gone = sum(r["n"] for r in seen if r[f"r{k}"]) / max(rows, 1)
+            ranked.append((-gone / cost, cost if not gone else 0, rules[k].name, k, cost, gone))
+        *_, k, cost, gone = min(ranked)
+        out.append((rules[k], cost, gone))
+        paid |= set(rules[k].metrics)
+        seen = [r for r in seen if not r[f"r{k}"]]
+        left.remove(k)
+    return out
 
 
 def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 2000) -> DataFrame:
@@ -114,6 +138,20 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc
     return out.select("doc_id", *METRICS, "base_failed", (~F.col("base_failed") & F.col("first_failed").isNull()).alias("kept"), "first_failed")
 
 
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 2000) -> DataFrame:
+    """The rows of docs that fail neither a rule nor the base, with their columns. A metric is computed where its first
+    rule is reached, so a document that an early rule rejects never pays for the others."""
+    order = [r for r, _, _ in ordered(docs, rules, sample_rows, id_col, text_col)]
+    chain = "true"
+    for rule in reversed([*order, Rule("base", BASE_FAILED)]):
+        chain = f"if(coalesce({rule.fails}, false), false, {chain})"
+    for name in reversed(METRICS):
+        # a lambda variable would be computed at once; in the branches, the metric stands where it is needed
+        chain = re.sub(rf"\b{name}\b", lambda _: f"({METRICS[name]})", chain)
+    good = lets(chain, ("text", f"coalesce(`{text_col}`, '')"), ("w", words_sql("text")))
+    return docs.where(F.expr(good))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade(table(spark, sf_dir, "documents")).drop("first_failed")
 

@@ -11,7 +11,8 @@ import zlib
 
 import numpy as np
 import pytest
-from axisgrove.llm import common, op2_pii, op3_html, op6_quality, op9_lm, op10_language
+from axisgrove.llm import common, op2_pii, op3_html, op5_rules, op6_quality, op9_lm, op10_language
+from pyspark.sql import functions as F
 from test_brute import SF, base_spans
 
 # 2
@@ -184,3 +185,28 @@ def test_op3_unclosed_widgets_leave_the_article():
     for start in ('<nav><ul><li><a href=/x>One</a></li><li><button>Menu</li></ul></nav>', '<div class="notice"><select><option>A<option>B</div>', '<nav><svg><a href=/>Home</nav>', ""):
         got = op3_html.main_text("<html><body>" + start + body, model)
         assert got.replace(" ", "") == want.replace(" ", ""), start
+
+
+# 5
+
+
+def test_op5_order_is_the_same_in_reruns_and_cheap_rejections_come_first(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    a, b = op5_rules.ordered(d), op5_rules.ordered(d.repartition(13))
+    assert a == b and {r.name for r, _, _ in a} == {r.name for r in op5_rules.RULES}
+    assert sorted(r.first_failed or "" for r in op5_rules.cascade(d).collect()) == sorted(r.first_failed or "" for r in op5_rules.cascade(d.repartition(7)).collect())
+    # what each rule costs and rejects, counted anew in the order given
+    rows, paid = [r.asDict() for r in op5_rules.measured(d).select("*", *(F.expr(r.fails).alias(f"_{r.name}") for r in op5_rules.RULES)).collect()], set()
+    for rule, cost, gone in a:
+        needs = [*(m for m in rule.metrics if m not in paid), *rule.work]
+        units = [sum(op5_rules.UNITS[x][k] for x in needs) for k in (0, 1)]
+        assert math.isclose(cost, 1 + (units[0] * sum(len(r["text"]) for r in rows) + units[1] * sum(r["n_words"] for r in rows)) / len(rows))
+        assert math.isclose(gone, sum(r[f"_{rule.name}"] for r in rows) / len(rows))
+        rows, paid = [r for r in rows if not r[f"_{rule.name}"]], paid | set(rule.metrics)
+
+
+def test_op5_passing_is_the_cascade(spark, odd):
+    for d in (spark.read.parquet(f"{SF}/documents.parquet"), odd.where("doc_id is not null")):
+        kept = [r.doc_id for r in op5_rules.cascade(d).where("kept").collect()]
+        got = op5_rules.passing(d)
+        assert got.columns == d.columns and sorted(r.doc_id for r in got.collect()) == sorted(kept) and kept
