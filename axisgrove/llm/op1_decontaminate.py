@@ -8,13 +8,17 @@ the documents' shingles of as many words.
 1. Prefix filter, lossless. An alike window lacks at most 20 % of the item's shingles, so it has one of any
    floor(0.2 * n) + 1 of them; the hashes of so many rarest shingles of each item meet the documents' shingles in a
    join. Documents keep only candidate items, no text is moved before that.
-2. Windows. In a candidate document, all starts of windows of the item's length whose shingles could reach the
-   similarity: those that hold enough of the item's shingles. Windows with equal contents are looked up once.
+2. Windows. The candidate document's places of the item's shingles, by a join, say which of all its windows of the
+   item's length is worth a fingerprint: a place counts for the windows from its item's length before it, or from just
+   after as many earlier places of its shingle as the item has, up to itself. A sweep over the ends of these intervals
+   finds the first window with most of the item, in n log n steps for n places. A candidate whose best window is
+   too poor is done.
 3. SimHash. A window and an item have 64-bit fingerprints of their weighted shingles. A multi-index of 24 blocks finds
-   all items of the length that the window is cut for within Hamming distance 23: of 24 blocks one must be equal. At the threshold the
-   angle between two windows makes about 10 bits differ, with a deviation of 3.
-4. The exact weighted Jaccard similarity of the shingles decides, for those items and for the item that the window was
-   cut for, however far its fingerprint is. So no alike window is lost.
+   the items within Hamming distance 23, whatever bits differ: of 24 blocks one must be equal. At the threshold the
+   angle between two windows makes about 10 bits differ, with a deviation of 3. Blocks of 2 or 3 bits select little, so
+   the index is looked up under the candidate items' keys and not under all items of the length.
+4. The exact weighted Jaccard similarity of the shingles decides, for those items and for candidates beyond the radius
+   (heavily repeated shingles can turn that many bits). So no alike window is lost.
 
 Everything is DataFrame and SQL functions. The benchmark's index is broadcast only if it has at most
 BROADCAST_ROWS rows (24 bytes each); else the joins shuffle.
@@ -26,6 +30,8 @@ read, and a document id need not be unique, nor be there: a null id is an id lik
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,8 +61,26 @@ def item_shingles_sql(w: str) -> str:
 
 
 def weighted_sql(s: str) -> str:
-    """Array of (shingle, weight) of an array of shingles."""
-    return let(s, "o", "transform(array_distinct(o), g -> struct(g as g, size(filter(o, y -> y = g)) as n))")
+    """Array of (shingle, weight) of an array of shingles that is not empty, in the order of the shingles."""
+    return lets(
+        "transform(at, (b, k) -> struct(o[b] as g, if(k + 1 < size(at), at[k + 1], size(o)) - b as n))",
+        ("o", f"sort_array({s})"), ("at", "filter(sequence(0, size(o) - 1), i -> i = 0 or o[i] <> o[i - 1])"))
+
+
+def labels_sql(s: str) -> str:
+    """A set that stands for an array of shingles with their weights: each shingle's first, second, ... occurrence."""
+    return f"flatten(transform({weighted_sql(s)}, y -> transform(sequence(1, y.n), k -> xxhash64(y.g, k))))"
+
+
+def best_window_sql(o: str, m: str, n: str) -> str:
+    """(best, b): the most of an item's shingles, with their weights, that a window of m of n shingles holds, and the
+    first start of such a window. o: array of (g, pos, c) in order, the places of shingles of which the item has c."""
+    low = "greatest(0, x.pos - m + 1, if(j >= x.c, if(o[j - x.c].g = x.g, o[j - x.c].pos + 1, 0), 0))"
+    step = ("if(e % 2 = 1, struct(a.n - 1 as n, a.best as best, a.b as b), "
+            "if(a.n + 1 > a.best, struct(a.n + 1 as n, a.n + 1 as best, e div 2 as b), struct(a.n + 1 as n, a.best as best, a.b as b)))")
+    return lets(
+        f"aggregate(sort_array(flatten(transform(filter(ends, x -> x.low <= 2 * greatest(0, n - m)), x -> array(x.low, x.high)))), struct(0L as n, 0L as best, 0L as b), (a, e) -> {step}, a -> struct(a.best as best, a.b as b))",
+        ("m", m), ("n", n), ("o", o), ("ends", f"transform(o, (x, j) -> struct(2L * {low} as low, 2L * x.pos + 1 as high))"))
 
 
 def simhash_sql(s: str) -> str:
@@ -72,9 +96,6 @@ def blocks_sql(f: str, radius: int = RADIUS) -> str:
     return "array(" + ", ".join(f"struct({k} as k, shiftrightunsigned({f}, {a}) & {(1 << (b - a)) - 1}L as v)" for k, (a, b) in enumerate(zip(cuts, cuts[1:]))) + ")"
 
 
-JACCARD = "aggregate(ws, 0, (s, x) -> s + aggregate(filter(is, y -> y.g = x.g), 0, (t, y) -> least(x.n, y.n)))"
-
-
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -87,7 +108,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
     items = benchmark.select("item_id", F.expr(norm_words("text")).alias("w")).where("size(w) > 0")
     items = items.select("item_id", F.expr("size(w)").alias("len"), F.expr(item_shingles_sql("w")).alias("s"))
     items = items.groupBy("len", "s").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"))
-    items = scratch.keep(items.select(F.xxhash64("len", "s").alias("key"), "len", "s", "item_ids", F.expr(weighted_sql("s")).alias("is"), F.expr(simhash_sql("s")).alias("fp")), "items")
+    items = scratch.keep(items.select(F.xxhash64("len", "s").alias("key"), "len", "s", "item_ids", F.expr(labels_sql("s")).alias("il"), F.expr(simhash_sql("s")).alias("fp")), "items")
+    n_items = items.count()
     rarity = items.select("key", F.explode(F.array_distinct("s")).alias("g"), F.size("s").alias("n")).withColumn("df", F.count("*").over(Window.partitionBy("g")))
     rank = F.row_number().over(Window.partitionBy("key").orderBy("df", "g"))
     # at most (100 - percent) % of the occurrences can be missing
@@ -107,38 +129,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
     pairs = s.join(_small(prefix, n_prefix), "g").select("doc_id", "th", "key").distinct()
     pairs = scratch.keep(pairs, "pairs")
 
-    # windows of the candidate items' lengths that hold enough of the item's shingles
+    # places of the candidate items' shingles in their documents; repeated rows are alike in all that follows
     few = pairs.select("doc_id", "th").distinct()
-    few_rows = few.count()
-    texts = d.join(_small(few, few_rows), ["doc_id", "th"], "left_semi").select("doc_id", "th", words).select("doc_id", "th", *cut)
-    texts = scratch.keep(texts.withColumn("row", F.xxhash64("doc_id", "th")), "texts")
-    # repeated rows are alike in all that follows
-    cand = pairs.join(texts.dropDuplicates(["doc_id", "th"]), ["doc_id", "th"]).join(_small(items.select("key", "s", F.size("s").alias("m"), "len"), items.count()), "key")
-    of_len = f"case len {' '.join(f'when {n} then s{n}' for n in short)} else s{SHINGLE} end" if short else f"s{SHINGLE}"
-    cand = cand.withColumn("ds", F.expr(of_len))
-    need = f"ceil({percent} * m / 100.0)"
-    hits = "transform(filter(transform(ds, (x, i) -> struct(array_contains(s, x) as hit, i as i)), x -> x.hit), x -> x.i)"
-    starts = lets(
-        f"filter(array_distinct(flatten(transform(hits, p -> sequence(greatest(0, p - m + 1), p)))), b -> b <= greatest(0, size(ds) - m) and size(filter(hits, p -> p >= b and p < b + m)) >= {need})",
-        ("hits", hits))
-    windows = cand.select("doc_id", "th", "key", "len", "m", F.expr(starts).alias("starts"), "ds")
-    windows = windows.select("doc_id", "th", "key", "len", F.explode(F.expr("transform(starts, b -> struct(b as start, slice(ds, b + 1, m) as s))")).alias("x")).select("doc_id", "th", "key", "len", "x.start", "x.s")
-    windows = scratch.keep(windows.distinct().withColumn("wkey", F.xxhash64("len", "s")), "windows")
+    texts = d.join(_small(few, few.count()), ["doc_id", "th"], "left_semi").select("doc_id", "th", words).select("doc_id", "th", *cut)
+    texts = scratch.keep(texts.dropDuplicates(["doc_id", "th"]), "texts")
+    weights = scratch.keep(items.select("key", F.expr(f"if(len < {SHINGLE}, len, {SHINGLE})").alias("cut"), F.size("s").alias("m"), F.explode(F.expr(weighted_sql("s"))).alias("x")).select("key", "cut", "m", "x.g", F.col("x.n").alias("c")), "weights")
+    known = weights.select("cut", "g").distinct()
+    n_known = weights.count()
+    places = [texts.select("doc_id", "th", F.lit(n).alias("cut"), F.size(f"s{n}").alias("n"), F.posexplode(f"s{n}").alias("pos", "g")) for n in lengths]
+    places = functools.reduce(DataFrame.unionByName, places)
+    places = places.join(F.broadcast(known), ["cut", "g"], "left_semi") if n_known <= BROADCAST_ROWS else places
+    wanted = pairs.join(_small(weights, n_known), "key")
+    hits = places.join(wanted, ["doc_id", "th", "cut", "g"]).groupBy("doc_id", "th", "key", "cut", "m", "n").agg(F.sort_array(F.collect_list(F.struct("g", "pos", "c"))).alias("o"))
+    windows = hits.select("doc_id", "th", "key", "cut", "m", "n", F.expr(best_window_sql("o", "m", "n")).alias("w")).where(f"100 * w.best >= {percent} * (m + least(m, n) - w.best)")
+    windows = scratch.keep(windows.select("doc_id", "th", "key", "cut", "m", F.col("w.b").cast("int").alias("start")), "starts")
+    of_cut = f"case cut {' '.join(f'when {n} then s{n}' for n in short)} else s{SHINGLE} end" if short else f"s{SHINGLE}"
+    windows = windows.join(texts, ["doc_id", "th"]).select("doc_id", "key", "cut", "start", F.expr(f"slice({of_cut}, start + 1, m)").alias("s"))
+    windows = scratch.keep(windows.withColumn("wkey", F.xxhash64("cut", "s")), "windows")
 
     # each content is looked up once
-    content = windows.groupBy("wkey", "len").agg(F.first("s").alias("s"))
-    content = content.select("wkey", "len", F.expr(weighted_sql("s")).alias("ws"), F.size("s").alias("m"), F.expr(simhash_sql("s")).alias("fp"))
-    content = scratch.keep(content, "content")
-    index = items.select("key", "len", F.col("fp").alias("ifp"), F.explode(F.expr(blocks_sql("fp", radius))).alias("b")).select("key", "len", "ifp", "b.k", "b.v")
-    probe = content.select("wkey", "len", "fp", F.explode(F.expr(blocks_sql("fp", radius))).alias("b")).select("wkey", "len", "fp", "b.k", "b.v")
-    near = probe.join(_small(index, items.count() * (radius + 1)), ["len", "k", "v"]).where(f"bit_count(fp ^ ifp) <= {radius}").select("wkey", "key").distinct()
-    # a repeated shingle can turn more bits than the radius: the item that a window was cut for is always compared
-    near = near.unionByName(windows.select("wkey", "key")).distinct()
-    checked = near.join(content.select("wkey", "ws", "m"), "wkey").join(_small(items.select("key", "is", "item_ids", F.size("s").alias("im")), items.count()), "key")
-    checked = checked.select("wkey", "item_ids", F.expr("m + im").alias("sizes"), F.expr(JACCARD).alias("both")).where(f"100 * both >= {percent} * (sizes - both)")
-    found = windows.drop("key").distinct().join(checked.select("wkey", F.explode("item_ids").alias("item_id"), F.expr("both / (sizes - both)").alias("similarity")), "wkey")
+    content = windows.groupBy("wkey").agg(F.first("s").alias("s"))
+    content = scratch.keep(content.select("wkey", F.expr(labels_sql("s")).alias("wl"), F.expr(simhash_sql("s")).alias("fp")), "content")
+    cuts = windows.select("wkey", "key").distinct()
+    index = items.select("key", F.col("fp").alias("ifp"), F.explode(F.expr(blocks_sql("fp", radius))).alias("b")).select("key", "ifp", "b.k", "b.v")
+    probe = cuts.join(content.select("wkey", "fp"), "wkey").select("wkey", "key", "fp", F.explode(F.expr(blocks_sql("fp", radius))).alias("b")).select("wkey", "key", "fp", "b.k", "b.v")
+    near = probe.join(_small(index, n_items * (radius + 1)), ["key", "k", "v"]).where(f"bit_count(fp ^ ifp) <= {radius}").select("wkey", "key").distinct()
+    far = cuts.join(near, ["wkey", "key"], "left_anti")
+    checked = near.unionByName(far).join(content.select("wkey", "wl"), "wkey").join(_small(items.select("key", "il", "item_ids"), n_items), "key")
+    checked = checked.select("wkey", "key", "item_ids", F.expr("size(wl) + size(il)").alias("sizes"), F.expr("size(array_intersect(wl, il))").alias("both")).where(f"100 * both >= {percent} * (sizes - both)")
+    found = windows.select("doc_id", "key", "wkey", "start").join(checked.select("wkey", "key", F.explode("item_ids").alias("item_id"), F.expr("both / (sizes - both)").alias("similarity")), ["wkey", "key"])
     best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("start"))).alias("x"))
-    return best.select(F.col("doc_id.id").alias("doc_id"), "item_id", F.col("x.start").cast("int").alias("start"), (-F.col("x.s")).alias("similarity"))
+    best = scratch.keep(best.select(F.col("doc_id.id").alias("doc_id"), "item_id", F.col("x.start").alias("start"), (-F.col("x.s")).alias("similarity")), "found")
+    scratch.drop("items", "prefix", "pairs", "texts", "weights", "starts", "windows", "content")
+    return best
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -39,17 +39,23 @@ def windows(w):
 
 
 def leaks(docs, items):
+    """Windows of the item's length; a shorter document is one window, an item of under 5 words one shingle."""
     out = {}
     for i, t in items:
-        c = collections.Counter(windows(norm(t)))
+        w = norm(t)
+        n = min(len(w), 5)
+        cut = lambda v: [tuple(v[k : k + n]) for k in range(len(v) - n + 1)] if len(v) >= n or n < 5 else [tuple(v)] if v else []
+        c = collections.Counter(cut(w)) if w else {}
         m = sum(c.values())
         for d, text in docs:
-            s = windows(norm(text))
-            if not m or not set(s) & set(c):
+            s = cut(norm(text)) if w else []
+            if not set(s) & set(c):
                 continue
-            both = max((sum((collections.Counter(s[b : b + m]) & c).values()) for b in range(len(s) - m + 1)), default=0)
-            if 100 * both >= 80 * (2 * m - both):
-                out[d, i] = both / (2 * m - both)
+            for b in range(max(1, len(s) - m + 1)):
+                x = collections.Counter(s[b : b + m])
+                both = sum((x & c).values())
+                if 100 * both >= 80 * (m + sum(x.values()) - both):
+                    out[d, i] = max(out.get((d, i), 0), both / (m + sum(x.values()) - both))
     return out
 
 

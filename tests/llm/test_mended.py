@@ -11,7 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
-from axisgrove.llm import common, op2_pii, op3_html, op5_rules, op6_quality, op9_lm, op10_language
+from axisgrove.llm import common, op1_decontaminate, op2_pii, op3_html, op5_rules, op6_quality, op9_lm, op10_language
 from pyspark.sql import functions as F
 from test_brute import SF, base_spans
 
@@ -210,3 +210,46 @@ def test_op5_passing_is_the_cascade(spark, odd):
         kept = [r.doc_id for r in op5_rules.cascade(d).where("kept").collect()]
         got = op5_rules.passing(d)
         assert got.columns == d.columns and sorted(r.doc_id for r in got.collect()) == sorted(kept) and kept
+
+
+# 1
+
+
+def test_op1_a_million_words_that_repeat_an_item(spark):
+    rng = random.Random(1)
+    item = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+    long_item = [f"v{rng.randrange(10**6)}" for _ in range(20_000)]
+    docs = [(1, " ".join(item * 25_000)), (2, " ".join(["x"] * 50_000 + long_item[:-9] + ["y"] * 9)), (3, "a " * 1_000_000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(long_item)), (3, "a " * 30)], "item_id long, text string")
+    began = time.perf_counter()
+    got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in op1_decontaminate.contaminated(d, items).collect()}
+    assert time.perf_counter() - began < 90
+    # the window of the long item has room for nine words before the passage
+    assert got.keys() == {(1, 1), (2, 2), (3, 3)} and got[1, 1] == (0, 1.0) and got[3, 3] == (0, 1.0) and got[2, 2][0] == 49_991 and got[2, 2][1] > 0.99
+
+
+def test_op1_first_of_the_best_windows(spark):
+    """Starts and similarities of all windows, with shingles that the item and the documents repeat."""
+    rng = random.Random(11)
+    items = [(i, [rng.choice("abc") for _ in range(rng.choice([6, 9, 14, 30]))]) for i in range(12)]
+    docs = []
+    for k in range(150):
+        w = list(rng.choice(items)[1])
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = rng.choice("abz")
+        docs.append((k, [rng.choice("abcz") for _ in range(rng.randint(0, 12))] + w + w[: rng.randint(0, 9)]))
+    cut = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)]
+    want = {}
+    for d, text in docs:
+        for i, item in items:
+            c, s = collections.Counter(cut(item)), cut(text)
+            m = sum(c.values())
+            for b in range(max(1, len(s) - m + 1)):
+                x = collections.Counter(s[b : b + m])
+                both, sizes = sum((x & c).values()), m + sum(x.values())
+                if 100 * both >= 80 * (sizes - both) and both / (sizes - both) > want.get((d, i), (0, 0))[1]:
+                    want[d, i] = (b, both / (sizes - both))
+    frame = lambda rows, name: spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{name} long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in op1_decontaminate.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert got == want and len(want) > 50
