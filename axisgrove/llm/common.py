@@ -93,6 +93,24 @@ def rows_of(df: DataFrame) -> int:
 BROADCAST_IDS = 200_000
 
 
+#: A task gets about so many rows of one key in a salted join.
+HOT = 500
+
+
+def salted_join(scratch: Scratch, name: str, many: DataFrame, one: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None, rows: int = HOT) -> DataFrame:
+    """many joined with one on a key of which one has one row. Keys of which many has more than `rows` rows are dealt to
+    parts of about so many, and one's row goes to each part; so no task grows with a key. counts (key, n) if known.
+    (Were there more of such keys than can be broadcast, they would be left to the shuffle, as no key is hot among so many.)"""
+    counts = counts if counts is not None else many.groupBy(key).agg(F.count("*").alias("n"))
+    hot = scratch.keep(counts.where(f"n > {rows}").select(F.col(key), F.ceil(F.col("n") / rows).cast("int").alias("__k")), f"hot-{name}")
+    if not 0 < hot.count() <= BROADCAST_IDS:
+        return many.join(one, key, how)
+    part = F.coalesce(F.pmod(F.xxhash64(*(c for c in many.columns if c != key and many.schema[c].dataType.typeName() != "binary")), F.col("__k")), F.lit(0)).cast("int")
+    left = many.join(F.broadcast(hot), key, "left").withColumn("__p", part).drop("__k")
+    right = one.join(F.broadcast(hot), key, "left").withColumn("__p", F.explode(F.sequence(F.lit(0), F.coalesce("__k", F.lit(1)) - 1))).drop("__k")
+    return left.join(right, [key, "__p"], how).drop("__p")
+
+
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs whose id is not in ids (one column of that name, written already)."""
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, "left_anti").select(*docs.columns)

@@ -11,7 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
-from axisgrove.llm import common, op1_decontaminate, op2_pii, op3_html, op5_rules, op6_quality, op9_lm, op10_language
+from axisgrove.llm import common, components, op1_decontaminate, op2_pii, op3_html, op5_rules, op6_quality, op8_minhash, op9_lm, op10_language
 from pyspark.sql import functions as F
 from test_brute import SF, base_spans
 
@@ -253,3 +253,52 @@ def test_op1_first_of_the_best_windows(spark):
     frame = lambda rows, name: spark.createDataFrame([(k, " ".join(w)) for k, w in rows], f"{name} long, text string")
     got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in op1_decontaminate.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
     assert got == want and len(want) > 50
+
+
+# 8
+
+
+def test_op8_hot_groups_negative_ids_and_none(spark, monkeypatch):
+    """Groups far beyond a block and a salt, with ids of both signs, against all pairs."""
+    rng = random.Random(88)
+    docs = []
+    for g, size in enumerate((150, 90, 3, 2)):
+        centre = [f"g{g}w{i}" for i in range(120)]
+        for _ in range(size):
+            w = list(centre)
+            for _ in range(rng.choice([0, 0, 1, 2, 3, 5, 8, 12])):
+                w[rng.randrange(120)] = f"x{rng.random()}"
+            docs.append(" ".join(w))
+    docs += [" ".join(f"c{4 * k + i}" for i in range(100)) for k in range(40)]
+    rng.shuffle(docs)
+    rows = [(i - 140, t) for i, t in enumerate(docs)] + [(None, docs[0]), (None, "only here and nowhere else")]
+    monkeypatch.setattr(op8_minhash.in_blocks, "__defaults__", (16, 30_000))
+    monkeypatch.setattr(common.salted_join, "__defaults__", ("inner", None, 20))
+    monkeypatch.setattr(components, "SALTED", 1)
+    monkeypatch.setattr(components, "EDGES", 20)
+    found = op8_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.component_id, r.kept) for r in found if r.doc_id is None] == [(None, True)] * 2
+    got = {r.doc_id: r.component_id for r in found if r.doc_id is not None}
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, t in rows if i is not None for w in [t.split()]}
+    best = {i: i for i in sets}
+
+    def find(i):
+        while best[i] != i:
+            i = best[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            both = len(sets[i] & sets[j]) if j < i else 0
+            if both and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                best[b] = a
+    assert got == {i: find(i) for i in sets} and len(set(got.values())) < len(got) - 100
+
+
+def test_salted_join_is_a_join(spark):
+    many = spark.range(2000).selectExpr("if(id % 3 = 0, 0, id % 50) as k", "id as v").unionByName(spark.sql("select cast(null as bigint) as k, 7L as v"))
+    one = spark.range(0, 40).selectExpr("id as k", "id * 2 as w")
+    for how in ("inner", "left", "left_semi"):
+        scratch = common.Scratch(spark, "t")
+        assert sorted(map(str, common.salted_join(scratch, how, many, one, "k", how, rows=20).collect())) == sorted(map(str, many.join(one, "k", how).collect()))
