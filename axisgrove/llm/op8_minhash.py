@@ -39,7 +39,7 @@ from .components import connected_components
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROWS, BANDS = 8, 50
-BLOCK, PAYLOAD = 1024, 6_000_000
+BLOCK, PAYLOAD = 512, 6_000_000
 
 
 def _coefficients(rows: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
