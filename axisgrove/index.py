@@ -5,13 +5,18 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import search, tree
 from .plans.planner import Plan, choose
 from .sources import points as P
-from .sources.storage import written
+from .sources.storage import removed, written
+
+
+def kd_node(point_id, lt_child=None, gt_child=None) -> Row:
+    """A node record from its point and children; its place in a tree (split_dim, parent, brother) is not known yet."""
+    return Row(point_id=point_id, lt_child=lt_child, gt_child=gt_child, split_dim=None, parent=None, brother=None)
 
 
 class SpatialIndex:
@@ -20,6 +25,7 @@ class SpatialIndex:
     def __init__(self, points: DataFrame, dims: int, total: int, count: int, dedup: bool) -> None:
         self.points, self.num_dimensions, self.num_points, self._count, self.dedup = points, dims, total, count, dedup
         self._nodes: DataFrame | None = None
+        self._kept: list[str] = []
         self.timings: dict[str, float] = {}
         self.last_plan: Plan | None = None
 
@@ -33,10 +39,12 @@ class SpatialIndex:
         total = None
         if dedup:
             p = P.distinct_points(p)
-        p = written(p, "points")
+        kept: list[str] = []
+        p = written(p, "points", kept)
         count = p.count()
         total = df.count() if on_invalid == "raise" else P.validated(P.points(df, id_col, coords), dims or None, "drop").count()
         self = cls(p, dims, total, count, dedup)
+        self._kept = kept
         self.timings["points"] = time.perf_counter() - began
         if tree_now:
             _ = self.nodes
@@ -74,7 +82,7 @@ class SpatialIndex:
                 raise ValueError("a tree needs distinct points: build with dedup=True")
             began = time.perf_counter()
             d = max(1, self.num_dimensions)
-            self._nodes = written(tree.linked(tree.placed(self.points, d), d), "nodes")
+            self._nodes = written(tree.linked(tree.placed(self.points, d), d), "nodes", self._kept)
             self.timings["tree"] = time.perf_counter() - began
         return self._nodes
 
@@ -104,21 +112,26 @@ class SpatialIndex:
         return tree.rendered(self.nodes)
 
     def close(self) -> None:
+        """Deletes what the index has written to the shared folder; it and the results that still read it end with that.
+        Saved copies stay."""
         self._nodes = None
+        removed(self.points.sparkSession, self._kept)
 
     # --- on disk
 
     def save(self, path: str) -> None:
+        """Points, metadata and, where there is one (dedup=True), the tree."""
         self.points.write.mode("overwrite").parquet(f"{path}/points")
-        self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-        meta = self.points.sparkSession.createDataFrame([(self.num_points, self.num_dimensions, self._count)], "num_points bigint, num_dimensions int, num_nodes bigint")
+        if self.dedup:
+            self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+        meta = self.points.sparkSession.createDataFrame([(self.num_points, self.num_dimensions, self._count, self.dedup)], "num_points bigint, num_dimensions int, num_nodes bigint, dedup boolean")
         meta.write.mode("overwrite").parquet(f"{path}/meta")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SpatialIndex:
         m = spark.read.parquet(f"{path}/meta").first()
-        self = cls(spark.read.parquet(f"{path}/points"), m["num_dimensions"], m["num_points"], m["num_nodes"], True)
-        self._nodes, self.timings = spark.read.parquet(f"{path}/nodes"), {"points": 0.0, "tree": 0.0}
+        self = cls(spark.read.parquet(f"{path}/points"), m["num_dimensions"], m["num_points"], m["num_nodes"], m["dedup"])
+        self._nodes, self.timings = spark.read.parquet(f"{path}/nodes") if m["dedup"] else None, {"points": 0.0, "tree": 0.0}
         return self
 
     # --- searches
@@ -161,9 +174,12 @@ class SpatialIndex:
         if not cut >= 0:
             raise ValueError("cut must not be negative")
         q = self._queries(queries, id_col, coords)
-        self.last_plan = plan = choose("box", self._count, queries.count(), self.num_dimensions, strategy)
+        nq = queries.count()
+        self.last_plan = plan = choose("box", self._count, nq, self.num_dimensions, strategy)
         if plan.strategy == "brute":
             return search.box_brute(q, self.points, cut)
+        if plan.strategy == "block":
+            return search.box_block(q, self.points, cut, self._count, nq)
         return search.box_grid(q, self.points, cut, self.num_dimensions)
 
     def locate(self, queries: DataFrame, id_col: str = "query_id", coords: str | Sequence[str] = "coords") -> DataFrame:

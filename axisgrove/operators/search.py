@@ -6,7 +6,7 @@ what is as far as the bound, since an equal distance with a lower id wins.
 brute   a cross join with the broadcast points, ranked by a window (Spark keeps k rows a query on both sides of the
         shuffle); for small products.
 block   queries and points in hashed blocks; a task gets a block of each and computes distances with NumPy, axis by axis,
-        in double. Exact at any dimension; memory is two blocks.
+        in double. Exact at any dimension, for boxes too; memory is two blocks.
 grid    radius and box in few dimensions: cells as wide as the radius, a query meets the 3^D cells around it in an
         equi-join. Catalyst plans it; hot cells are split by AQE.
 cells   k nearest in few dimensions: disjoint boxes from a bounded sample's medians; a query searches its own box, then
@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import squared_distance, within_ball, within_box
-from ..sources.storage import written
+from ..sources.storage import removed, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 QUERY_BLOCK, POINT_BLOCK = 20_000, 50_000
+TASK_PAIRS, MOST_PARTS = 20_000_000, 64
 CELL_POINTS, MOST_CELLS, SAMPLE = 20_000, 4096, 100_000
+FEW_POINTS = 1_000  # a cell of a small set, so that it has cells at all
 FOUND = "query_id bigint, point_id bigint, dist2 double"
 
 
@@ -123,11 +125,34 @@ def radius_kernel(radius: float):
     return run
 
 
+def box_kernel(cut: float):
+    cut = float(cut)
+
+    def run(left, right):
+        q, p = _matrix(left), _matrix(right)
+        rows: list = []
+        if len(q) and len(p):
+            qid, pid = left["query_id"].to_numpy(), right["point_id"].to_numpy()
+            step = max(1, 4_000_000 // len(p))
+            for lo in range(0, len(q), step):
+                part = q[lo : lo + step]
+                inside = np.ones((len(part), len(p)), dtype=bool)
+                for j in range(p.shape[1]):
+                    inside &= np.abs(part[:, j, None] - p[None, :, j]) <= cut
+                i, j = np.nonzero(inside)
+                rows.append((qid[lo + i], pid[j], np.zeros(len(i))))
+        return _result(rows)
+
+    return run
+
+
 # --- blocks
 
 
 def _block_join(queries: DataFrame, points: DataFrame, kernel, n: int, q: int) -> DataFrame:
     nb, qb = max(1, -(-n // POINT_BLOCK)), max(1, -(-q // QUERY_BLOCK))
+    # a product of one block is dealt to more tasks by its queries, each of which takes all points
+    qb = max(qb, min(MOST_PARTS, -(-n * q // TASK_PAIRS) // nb))
     left = queries.select("query_id", "coords", F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("pb"))
     right = points.select("point_id", "coords", F.pmod(F.xxhash64("point_id"), F.lit(nb)).cast("int").alias("pb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
     return left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInArrow(kernel, FOUND)
@@ -141,6 +166,10 @@ def radius_block(queries: DataFrame, points: DataFrame, radius: float, n: int, q
     return _block_join(queries, points, radius_kernel(radius), n, q)
 
 
+def box_block(queries: DataFrame, points: DataFrame, cut: float, n: int, q: int) -> DataFrame:
+    return _block_join(queries, points, box_kernel(cut), n, q).select("query_id", "point_id")
+
+
 # --- grid
 
 
@@ -245,10 +274,12 @@ def knn_cells(queries: DataFrame, points: DataFrame, k: int, n: int, cell_points
     share = min(1.0, SAMPLE / max(1, n))
     sample = points.select("coords").sample(share, 1).limit(2 * SAMPLE).toArrow()
     x = np.array(sample["coords"].combine_chunks().flatten(), dtype=float).reshape(sample.num_rows, -1)
-    cells = Cells(x, int(min(MOST_CELLS, max(1, n // max(cell_points, 2 * k)))))
-    p = written(_with_cell(points, cells, "point_id"), "points")
-    q = written(_with_cell(queries, cells, "query_id"), "queries")
-    home = written(_cell_join(q, p, knn_kernel(k)), "home")
+    size = max(min(cell_points, max(FEW_POINTS, n // 64)), 2 * k)
+    cells = Cells(x, int(min(MOST_CELLS, max(1, n // size))))
+    kept: list[str] = []
+    p = written(_with_cell(points, cells, "point_id"), "points", kept)
+    q = written(_with_cell(queries, cells, "query_id"), "queries", kept)
+    home = written(_cell_join(q, p, knn_kernel(k)), "home", kept)
     w = home.groupBy("query_id").agg(F.max("dist2").alias("bound"), F.count("*").alias("got"))
     bounded = q.join(w, "query_id", "left").select("query_id", "coords", "cell", F.when(F.col("got") >= k, F.col("bound")).otherwise(F.lit(float("inf"))).alias("bound"))
 
@@ -265,7 +296,9 @@ def knn_cells(queries: DataFrame, points: DataFrame, k: int, n: int, cell_points
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(lo + i)), b.column(1).take(pa.array(lo + i)), pa.array(j)], names=["query_id", "coords", "cell"])
 
     more = bounded.mapInArrow(reached, "query_id bigint, coords array<double>, cell bigint")
-    return ranked(home.unionByName(_cell_join(written(more, "reached"), p, knn_kernel(k))), k)
+    found = written(ranked(home.unionByName(_cell_join(written(more, "reached", kept), p, knn_kernel(k))), k), "found")
+    removed(points.sparkSession, kept)
+    return found
 
 
 # --- views of results

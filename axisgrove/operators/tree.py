@@ -24,6 +24,7 @@ from ..sources.storage import written
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SUBTREE = 200_000
+BROADCAST_RUNS = 500_000
 PLACED = "path bigint, node_id bigint, coords array<double>"
 
 
@@ -39,7 +40,9 @@ def _ranked(seg: DataFrame, axis: int, dims: int) -> DataFrame:
     w = Window.partitionBy("path").orderBy("part")
     runs = runs.select("path", "part", "first", (F.sum("m").over(w) - F.col("m")).alias("before"), F.sum("m").over(Window.partitionBy("path")).alias("n"))
     runs = runs.withColumnsRenamed({"path": "rpath", "part": "rpart"})
-    return spread.join(F.broadcast(runs), (F.col("path") == F.col("rpath")) & (part == F.col("rpart"))).select("path", "node_id", "coords", (F.col("at") - F.col("first") + F.col("before") + 1).alias("rn"), "n")
+    # one row a path and one more a range that it reaches into
+    paths = 1 << len(bin(seg.agg(F.max("path")).first()[0] or 1)) - 3
+    return spread.join(F.broadcast(runs) if paths + parts <= BROADCAST_RUNS else runs, (F.col("path") == F.col("rpath")) & (part == F.col("rpart"))).select("path", "node_id", "coords", (F.col("at") - F.col("first") + F.col("before") + 1).alias("rn"), "n")
 
 
 def _subtree(dims: int):
@@ -130,41 +133,86 @@ def boxed_violations(nodes: DataFrame, dims: int) -> DataFrame:
 
 
 def rendered(nodes: DataFrame) -> DataFrame:
-    """The tree on its side: (line, text), greater subtree above, each node indented by its depth."""
+    """The tree on its side: (line, text), greater subtree above, each node indented by its depth. Lines are numbered by
+    a range sort and its ranges' counts, not in one task."""
     # in-order position: the path's bits, left-aligned, with the node between its halves
-    place = F.expr("(path * 2 + 1) * shiftleft(1L, 62 - depth - 1)")
+    place = F.expr("-(path * 2 + 1) * shiftleft(1L, 62 - depth - 1)")
     text = F.concat(F.repeat(F.lit("       "), F.col("depth")), F.lit("("), F.array_join(F.transform("coords", lambda x: x.cast("string")), ", "), F.lit(")"))
-    return nodes.select(F.row_number().over(Window.orderBy(place.desc())).alias("line"), text.alias("text"))
+    spread = nodes.select(place.alias("place"), text.alias("text")).repartitionByRange("place").sortWithinPartitions("place")
+    spread = written(spread.withColumn("at", F.monotonically_increasing_id()), "lines")
+    part = F.shiftright("at", 33)
+    counts = spread.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = counts.select("part", "first", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # one row a range
+    return spread.join(F.broadcast(before), part == F.col("part")).select((F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "text")
 
 
 # --- leaf location
 
-BROADCAST_NODES = 1_000_000
+UPPER = 17  # levels that go to every task: 2^17 - 1 nodes at most, of 40 bytes
+LOCATE_BLOCK = 50_000
+
+
+def _descend(top: dict, coords: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where queries at the paths come to in a part of the tree: (path, id of the leaf or -1 if it goes on outside)."""
+    path, leaf = at.copy(), np.full(len(at), -1, dtype=np.int64)
+    live = np.arange(len(at))
+    while len(live) and len(top["path"]):
+        k = np.minimum(np.searchsorted(top["path"], path[live]), len(top["path"]) - 1)
+        known = top["path"][k] == path[live]
+        live, k = live[known], k[known]
+        lt, gt = top["lt"][k], top["gt"][k]
+        done = ~lt & ~gt
+        leaf[live[done]] = top["id"][k[done]]
+        live, k, lt, gt = live[~done], k[~done], lt[~done], gt[~done]
+        right = np.where(lt & gt, coords[live, top["axis"][k]] >= top["value"][k], gt)
+        path[live] = 2 * path[live] + right
+    return path, leaf
 
 
-def located(queries: DataFrame, nodes: DataFrame, dims: int) -> DataFrame:
+def _part(t) -> dict:
+    order = np.argsort(t["path"].to_numpy())
+    take = lambda c: np.array(t[c].to_pylist() if c in ("lt", "gt") else t[c].to_numpy())[order]
+    return {"path": take("path"), "id": take("node_id"), "lt": take("lt").astype(bool), "gt": take("gt").astype(bool), "axis": take("split_dim").astype(np.int64), "value": take("value")}
+
+
+def located(queries: DataFrame, nodes: DataFrame, dims: int, upper: int = UPPER) -> DataFrame:
     """(query_id, node_id) of the leaf that each query (query_id, coords) descends to: left if its coordinate is less
-    than the node's, else right; where there is one child, to that.
+    than the node's, else right; where there is one child, to that. Without nodes there are no rows.
 
-    One equi-join a level, on the node a query has come to; queries at leaves drop out. Node tables up to
-    BROADCAST_NODES rows are broadcast.
+    The upper levels, a bounded number of nodes, go to all tasks and bring each query to a subtree in one pass; queries
+    and the subtree's nodes then meet in one cogroup. A subtree with many queries is dealt to several tasks.
     """
-    n = nodes.count()
-    steps = nodes.select("node_id", "lt_child", "gt_child", F.element_at("coords", F.col("split_dim") + 1).alias("value"), "split_dim")
-    steps = F.broadcast(steps) if n <= BROADCAST_NODES else steps
-    root = nodes.where("parent is null").select(F.col("node_id").alias("at"))
-    here = queries.select("query_id", "coords").join(F.broadcast(root))
-    done = None
-    for k in range(n.bit_length()):
-        j = here.join(steps, F.col("at") == F.col("node_id"))
-        left = F.element_at("coords", F.col("split_dim") + 1) < F.col("value")
-        to = F.when(F.col("lt_child").isNotNull() & F.col("gt_child").isNotNull(), F.when(left, F.col("lt_child")).otherwise(F.col("gt_child"))).otherwise(F.coalesce("lt_child", "gt_child"))
-        j = j.select("query_id", "coords", "at", to.alias("to"))
-        if k % 8 == 7:
-            j = written(j, f"at{k}")
-        out = j.where("to is null").select("query_id", F.col("at").alias("node_id"))
-        done = out if done is None else done.unionByName(out)
-        here = j.where("to is not null").select("query_id", "coords", F.col("to").alias("at"))
-    if done is None:
-        done = queries.select("query_id", F.lit(None).cast("bigint").alias("node_id")).limit(0)
-    return done
+    n = nodes.select("path", "node_id", "depth", F.col("lt_child").isNotNull().alias("lt"), F.col("gt_child").isNotNull().alias("gt"), "split_dim", F.element_at("coords", F.col("split_dim") + 1).alias("value"))
+    top = queries.sparkSession.sparkContext.broadcast(_part(n.where(F.col("depth") < upper).drop("depth").toArrow()))
+
+    def first(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows and len(top.value["path"]):
+                path, leaf = _descend(top.value, np.array(b.column(1).flatten(), dtype=float).reshape(b.num_rows, -1), np.ones(b.num_rows, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(path), pa.array(leaf)], names=["query_id", "coords", "subtree", "node_id"])
+
+    here = queries.select("query_id", "coords").mapInArrow(first, "query_id bigint, coords array<double>, subtree bigint, node_id bigint")
+    deepest = nodes.agg(F.max("depth")).first()[0]
+    if deepest is None or deepest < upper:
+        return here.select("query_id", "node_id")
+
+    def second(left, right):
+        import pyarrow as pa
+
+        q = left.num_rows
+        if not q:
+            return pa.table({"query_id": pa.array([], pa.int64()), "node_id": pa.array([], pa.int64())})
+        _, leaf = _descend(_part(right), np.array(left["coords"].combine_chunks().flatten(), dtype=float).reshape(q, -1), left["subtree"].to_numpy())
+        return pa.table({"query_id": left["query_id"], "node_id": pa.array(leaf)})
+
+    here = written(here, "upper")
+    below = here.where("node_id < 0")
+    tasks = below.groupBy("subtree").agg(F.ceil(F.count("*") / LOCATE_BLOCK).cast("int").alias("tasks"))
+    tasks = F.broadcast(tasks)  # one row a subtree: 2^upper at most
+    left = below.join(tasks, "subtree").select("query_id", "coords", "subtree", F.pmod(F.xxhash64("query_id"), "tasks").cast("int").alias("task"))
+    lower = n.where(F.col("depth") >= upper).withColumn("subtree", F.expr(f"shiftright(path, depth - {upper})")).join(tasks, "subtree")
+    right = lower.select("subtree", "path", "node_id", "lt", "gt", "split_dim", "value", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
+    found = left.groupBy("subtree", "task").cogroup(right.groupBy("subtree", "task")).applyInArrow(second, "query_id bigint, node_id bigint")
+    return here.where("node_id >= 0").select("query_id", "node_id").unionByName(found)

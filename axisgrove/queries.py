@@ -5,6 +5,7 @@ Searches take as queries every row whose id is divisible by 100, or all rows of
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,10 @@ from .functions.expressions import super_key
 from .index import SpatialIndex
 from .operators import search, tree
 from .sources import points as P
+from .sources.storage import shared_folder
 
 KNN, RADIUS, PART_RADIUS, CUT = 5, 1.2, 3.0, 2.0
+CUBE_RADIUS, EMBEDDING_CUT, NODE = 9.0, 0.35, 7
 LEVELS = 20  # of the unrolled SQL: up to a million distinct parts
 
 
@@ -128,6 +131,85 @@ def knn_arrays_part(spark, sf):
     return search.neighbour_arrays(_parts(spark, sf).search_knn(_own(spark, sf), KNN)).select("query_id", F.array_join(F.transform("point_ids", lambda x: x.cast("string")), ",").alias("point_ids"))
 
 
+# strategies and parts that tables of this size would not take by themselves
+
+
+def _cube(spark: SparkSession, sf: str, name: str):
+    return _table(spark, sf, "part").select(F.col("p_partkey").alias(name), F.array(F.col("p_size").cast("double"), F.col("p_retailprice"), (F.col("p_partkey") % 97).cast("double")).alias("coords"))
+
+
+def knn_cells_part_3d(spark, sf):
+    index = SpatialIndex.build(_cube(spark, sf, "point_id"), "point_id", "coords")
+    return index.search_knn(_cube(spark, sf, "query_id"), KNN, strategy="cells").select("query_id", F.col("rank").cast("bigint").alias("rank"), "point_id")
+
+
+def radius_grid_part_3d(spark, sf):
+    index = SpatialIndex.build(_cube(spark, sf, "point_id"), "point_id", "coords")
+    return index.search_radius(_cube(spark, sf, "query_id"), CUBE_RADIUS, strategy="grid").select("query_id", "point_id")
+
+
+def box_block_embeddings(spark, sf):
+    index, q = _embeddings(spark, sf)
+    return index.search_box(q, EMBEDDING_CUT, strategy="block").select("query_id", "point_id")
+
+
+def knn_float32_part(spark, sf):
+    index = SpatialIndex.build(_table(spark, sf, "part"), "p_partkey", ["p_size", "p_retailprice"], float32=True)
+    return index.search_knn(_own(spark, sf), KNN).select("query_id", F.col("rank").cast("bigint").alias("rank"), "point_id")
+
+
+def radius_arrays_part(spark, sf):
+    found = search.radius_arrays(_parts(spark, sf).search_radius(_own(spark, sf), PART_RADIUS))
+    return found.select("query_id", F.array_join(F.transform("point_ids", lambda x: x.cast("string")), ",").alias("point_ids"))
+
+
+def _levels_part(spark, sf):
+    """The tree by distributed levels down to segments of 100 points."""
+    points = P.distinct_points(P.points(_table(spark, sf, "part"), "p_partkey", ["p_size", "p_retailprice"]))
+    return tree.linked(tree.placed(points, 2, subtree=100), 2)
+
+
+def kd_levels_part(spark, sf):
+    return _levels_part(spark, sf).select("node_id", "lt_child", "gt_child", "split_dim", "parent", "brother", "depth")
+
+
+def kd_locate_subtrees_part(spark, sf):
+    return tree.located(_shifted(spark, sf), _parts(spark, sf).nodes, 2, upper=4)
+
+
+def kd_ancestors_part(spark, sf):
+    """Pairs of a node and an ancestor, and how many of them are on the wrong side."""
+    nodes = _levels_part(spark, sf)
+    return nodes.agg(F.sum("depth").alias("pairs")).join(F.broadcast(tree.boxed_violations(nodes, 2).agg(F.count("*").alias("violations"))))
+
+
+def kd_lines_part(spark, sf):
+    return _parts(spark, sf).render()
+
+
+def kd_node_part(spark, sf):
+    return _parts(spark, sf).node(NODE).select("node_id", "lt_child", "gt_child", "split_dim", "parent", "brother", "depth")
+
+
+def build_stats_part(spark, sf):
+    return _parts(spark, sf).build_stats().select("points", "equal_removed", "nodes")
+
+
+def saved_index_part(spark, sf):
+    path = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
+    _parts(spark, sf).materialize().save(path)
+    return SpatialIndex.load(spark, path).compatible_nodes()
+
+
+def two_indexes(spark, sf):
+    """Indexes side by side: one keeps its answers while another is built and closed."""
+    parts = _parts(spark, sf)
+    other = SpatialIndex.build(_table(spark, sf, "customer"), "c_custkey", ["c_nationkey", "c_acctbal"])
+    second = other.info().select(F.lit("customer").alias("name"), "num_points", "num_nodes")
+    other.close()
+    return parts.info().select(F.lit("part").alias("name"), "num_points", "num_nodes").unionByName(second)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "nearest_embeddings": nearest_embeddings, "knn5_embeddings": knn5_embeddings, "radius_embeddings": radius_embeddings,
@@ -136,6 +218,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "superkey_rank_axis0": _ranks(0), "superkey_rank_axis1": _ranks(1),
         "kd_nodes_part": kd_nodes_part, "kd_root_part": kd_root_part, "kd_verify_part": kd_verify_part, "kd_locate_part": kd_locate_part, "kd_render_part": kd_render_part,
         "index_info": index_info, "knn_arrays_part": knn_arrays_part,
+        "knn_cells_part_3d": knn_cells_part_3d, "radius_grid_part_3d": radius_grid_part_3d, "box_block_embeddings": box_block_embeddings, "knn_float32_part": knn_float32_part,
+        "radius_arrays_part": radius_arrays_part, "kd_levels_part": kd_levels_part, "kd_locate_subtrees_part": kd_locate_subtrees_part, "kd_ancestors_part": kd_ancestors_part,
+        "kd_lines_part": kd_lines_part, "kd_node_part": kd_node_part, "build_stats_part": build_stats_part, "saved_index_part": saved_index_part, "two_indexes": two_indexes,
     }
 
 
@@ -173,9 +258,31 @@ def _locate() -> str:
     return f"WITH {','.join(out)} SELECT query_id, here AS node_id FROM l{LEVELS}"
 
 
+_CUBE = """p AS (SELECT p_partkey AS point_id, p_size::DOUBLE AS x, p_retailprice AS y, (p_partkey % 97)::DOUBLE AS z FROM part),
+q AS (SELECT point_id AS query_id, x, y, z FROM p), u AS (SELECT min(point_id) AS point_id, x, y, z FROM p GROUP BY x, y, z),
+d AS (SELECT query_id, point_id, (q.x - u.x) * (q.x - u.x) + (q.y - u.y) * (q.y - u.y) + (q.z - u.z) * (q.z - u.z) AS d2 FROM q, u)"""
+_SINGLE = "p AS (SELECT min(p_partkey) AS point_id, p_size::FLOAT::DOUBLE AS x, p_retailprice::FLOAT::DOUBLE AS y FROM part GROUP BY p_size::FLOAT, p_retailprice::FLOAT)"
+
+
 def oracle_sql() -> dict[str, str]:
     levels = _levels()
+    nodes = "SELECT node_id, lt_child, gt_child, split_dim, parent, brother, depth FROM nodes"
     return {
+        "knn_cells_part_3d": f"WITH {_CUBE} " + _TOP.format(cols=_RANK, k=KNN),
+        "radius_grid_part_3d": f"WITH {_CUBE} SELECT query_id, point_id FROM d WHERE d2 < {CUBE_RADIUS * CUBE_RADIUS}",
+        "box_block_embeddings": f"""WITH p AS (SELECT vec_id AS point_id, embedding AS e FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS f FROM embeddings WHERE vec_id % 100 = 0)
+SELECT query_id, point_id FROM q, p WHERE list_max(list_transform(list_zip(f, e), lambda z: abs(z[1]::DOUBLE - z[2]::DOUBLE))) <= {EMBEDDING_CUT}::DOUBLE""",
+        "knn_float32_part": f"WITH {_SINGLE}, {_OWN}, {_D2} " + _TOP.format(cols=_RANK, k=KNN),
+        "radius_arrays_part": f"WITH {_PART}, {_OWN}, {_D2} SELECT query_id, string_agg(point_id::VARCHAR, ',' ORDER BY point_id) AS point_ids FROM d WHERE d2 < {PART_RADIUS * PART_RADIUS} GROUP BY query_id",
+        "kd_levels_part": f"WITH {levels} {nodes}",
+        "kd_locate_subtrees_part": _locate(),
+        "kd_ancestors_part": f"""WITH {levels}, a AS (SELECT n.path, n.x, n.y, n.depth, unnest(range(1, n.depth + 1)) AS k FROM nodes n), b AS (SELECT a.*, u.x AS ux, u.y AS uy, u.split_dim AS s, (a.path >> (k - 1)) % 2 = 0 AS l FROM a JOIN nodes u ON u.path = a.path >> a.k)
+SELECT count(*) AS pairs, count(*) FILTER (NOT CASE WHEN l THEN CASE WHEN s = 0 THEN (x, y) < (ux, uy) ELSE (y, x) < (uy, ux) END ELSE CASE WHEN s = 0 THEN (x, y) > (ux, uy) ELSE (y, x) > (uy, ux) END END) AS violations FROM b""",
+        "kd_lines_part": f"WITH {levels} SELECT row_number() OVER (ORDER BY (path * 2 + 1) * (1::BIGINT << (61 - depth)) DESC) AS line, repeat(' ', 7 * depth) || '(' || x::VARCHAR || ', ' || y::VARCHAR || ')' AS text FROM nodes",
+        "kd_node_part": f"WITH {levels} {nodes} WHERE node_id = {NODE}",
+        "build_stats_part": f"WITH {_PART}, a AS (SELECT count(*) AS points FROM part), b AS (SELECT count(*) AS nodes FROM p) SELECT points, points - nodes AS equal_removed, nodes FROM a, b",
+        "saved_index_part": f"WITH {levels} SELECT node_id, node_id AS point_id, coalesce(lt_child, -1) AS lt_child, coalesce(gt_child, -1) AS gt_child, split_dim, coalesce(parent, -1) AS parent, coalesce(brother, -1) AS brother FROM nodes",
+        "two_indexes": "SELECT 'part' AS name, count(*) AS num_points, count(DISTINCT (p_size, p_retailprice)) AS num_nodes FROM part UNION ALL SELECT 'customer', count(*), count(DISTINCT (c_nationkey, c_acctbal)) FROM customer",
         "nearest_embeddings": f"WITH {_EMB} " + _TOP.format(cols="point_id", k=1),
         "knn5_embeddings": f"WITH {_EMB} " + _TOP.format(cols=_RANK, k=KNN),
         "radius_embeddings": f"WITH {_EMB} SELECT query_id, point_id FROM d WHERE d2 < {RADIUS}::DOUBLE * {RADIUS}::DOUBLE",

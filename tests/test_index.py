@@ -189,7 +189,9 @@ def test_planner():
     assert choose("knn", 10**7, 10**6, 3).strategy == "cells"
     assert choose("knn", 10**7, 10**6, 64).strategy == "block"
     assert choose("radius", 10**7, 10**6, 3).strategy == "grid"
-    assert choose("box", 10**7, 10**6, 9).strategy == "grid"
+    assert choose("box", 10**7, 10**6, 3).strategy == "grid"
+    # 3^9 cells a query would be far more than the blocks are
+    assert choose("box", 10**7, 10**6, 9).strategy == "block"
 
 
 def test_stream(spark, tmp_path):
@@ -205,3 +207,55 @@ def test_stream(spark, tmp_path):
     run.stop()
     got = {(r.query_id, r.point_id) for r in spark.table("near").collect()}
     assert got == {(r.query_id, r.point_id) for r in index.search_knn(q, 3).collect()}
+
+
+def test_locate_in_two_passes(spark):
+    """Subtrees below a few levels, queries beside and on the planes, against a plain descent."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 9, (400, 3)).astype(float)
+    q = np.concatenate([x[:150], rng.integers(0, 9, (150, 3)) + 0.5])
+    index = SpatialIndex.build(frame(spark, x), "point_id", "coords")
+    rows = {r.node_id: r for r in index.nodes.collect()}
+
+    def leaf(p):
+        at = next(r for r in rows.values() if r.parent is None)
+        while at.lt_child is not None or at.gt_child is not None:
+            both = at.lt_child is not None and at.gt_child is not None
+            to = (at.lt_child if p[at.split_dim] < at.coords[at.split_dim] else at.gt_child) if both else at.lt_child if at.lt_child is not None else at.gt_child
+            at = rows[to]
+        return at.node_id
+
+    want = {i: leaf(p) for i, p in enumerate(q)}
+    qs = frame(spark, q, "query_id")
+    for upper in (1, 3, 20):
+        assert {r.query_id: r.node_id for r in tree.located(qs, index.nodes, 3, upper).collect()} == want
+    assert tree.located(qs, index.nodes.limit(0), 3).collect() == [] and tree.located(qs.limit(0), index.nodes, 3, 2).collect() == []
+
+
+def test_save_without_a_tree_and_close(spark, tmp_path):
+    import os
+
+    x = np.random.default_rng(2).normal(size=(50, 12))
+    index = SpatialIndex.build(frame(spark, x), "point_id", "coords", dedup=False)
+    index.save(f"file://{tmp_path}/i")
+    again = SpatialIndex.load(spark, f"file://{tmp_path}/i")
+    assert not again.dedup and again.search_nearest(frame(spark, x[:5], "query_id")).count() == 5
+    files = [p.split("file:")[1].replace("///", "/") for p in index._kept]
+    assert files and all(map(os.path.exists, files))
+    index.close()
+    assert not any(map(os.path.exists, files)) and again.points.count() == 50
+
+
+def test_box_in_many_axes(spark):
+    x = np.random.default_rng(3).normal(size=(200, 9))
+    index, qs = SpatialIndex.build(frame(spark, x), "point_id", "coords"), frame(spark, x[:40] + 0.1, "query_id")
+    want = {(i, j) for i in range(40) for j in range(200) if (np.abs(x[i] + 0.1 - x[j]) <= 1.4).all()}
+    for strategy in ("block", "brute"):
+        assert {(r.query_id, r.point_id) for r in index.search_box(qs, 1.4, strategy=strategy).collect()} == want and len(want) > 40
+
+
+def test_kd_node():
+    from axisgrove.index import kd_node
+
+    n = kd_node(3, 1)
+    assert (n.point_id, n.lt_child, n.gt_child, n.parent) == (3, 1, None, None)
