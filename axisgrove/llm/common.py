@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -17,11 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one is made only where the session names none."""
+    """The folder that the driver and all executors share. Where the session names none, a folder of this machine is made,
+    which only a local master can share."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="axisgrove-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -30,8 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive a lost executor."""
 
+    _scopes: list[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        for scope in self._scopes[-1:]:
+            scope.append(self)
+
+    @classmethod
+    @contextlib.contextmanager
+    def scope(cls):
+        """All tables of objects that are made inside are deleted at the end: what was made of them must be written by then."""
+        cls._scopes.append([])
+        try:
+            yield
+        finally:
+            for made in cls._scopes.pop():
+                made.drop()
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")

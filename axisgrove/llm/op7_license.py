@@ -43,6 +43,13 @@ TEMPLATES = {
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     "BSD-2-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.',
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "CC0-1.0": "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
@@ -142,6 +149,8 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
+    """The units, and all runs of words, in SQL."""
+    low, high = LEAST / (2 - LEAST) - 1e-9, (2 - LEAST) / LEAST + 1e-9
     values = ", ".join("({}, {}, {})".format(repr(k), i, "[" + ", ".join(map(repr, bigrams(v))) + "]") for i, (k, v) in enumerate(TEMPLATES.items()))
     return rf"""
 WITH t(name, rank, grams) AS (VALUES {values}),
@@ -154,8 +163,19 @@ u AS (
 v AS (SELECT doc_id, u, list_filter(string_split(regexp_replace(lower(u), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM u),
 g AS (SELECT doc_id, u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM v WHERE len(w) > 1),
 s AS (SELECT doc_id, name, rank, 2 * len(list_intersect(grams, g)) / (len(grams) + len(g))::DOUBLE AS dice FROM g, t),
-m AS (SELECT * FROM s WHERE dice >= {LEAST}),
-a AS (SELECT doc_id, count(*) AS n_matches, arg_max(name, (dice, -rank)) AS license, max(dice) AS dice FROM m GROUP BY doc_id),
+-- runs of words: from each place of a bigram of the template, all lengths up to the bound
+x AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM d),
+p AS (SELECT doc_id, i, g, coalesce(lag(i) OVER (PARTITION BY doc_id, g ORDER BY i), -1) AS prev FROM (SELECT doc_id, i, w[i] || ' ' || w[i + 1] AS g FROM x, unnest(range(1, len(w))) AS r(i))),
+k AS (SELECT name, rank, len(grams) AS n, unnest(grams) AS g FROM t),
+h AS (SELECT doc_id, name, rank, n, i, p.g FROM p JOIN k USING (g)),
+c AS (SELECT doc_id, name, rank, n FROM h GROUP BY ALL HAVING count(DISTINCT g) >= ceil(n * {low!r})),
+r AS (SELECT c.doc_id, c.name, c.rank, c.n, h.i AS a, p.i, (p.prev < h.i)::INTEGER AS new, (p.prev < h.i AND k.g IS NOT NULL)::INTEGER AS hit
+      FROM c JOIN h USING (doc_id, name) JOIN p ON p.doc_id = c.doc_id AND p.i >= h.i AND p.i < h.i + floor(c.n * {high!r}) LEFT JOIN k ON k.name = c.name AND k.g = p.g),
+e AS (SELECT doc_id, name, rank, 2 * sum(hit) OVER o / (n + sum(new) OVER o)::DOUBLE AS dice FROM r WINDOW o AS (PARTITION BY doc_id, name, a ORDER BY i)),
+f AS (SELECT doc_id, name, rank, max(dice) AS dice FROM e GROUP BY ALL),
+m AS (SELECT *, true AS counts FROM s WHERE dice >= {LEAST} UNION ALL
+      SELECT f.*, NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = f.doc_id AND s.name = f.name AND s.dice >= {LEAST}) AS counts FROM f WHERE dice >= {LEAST}),
+a AS (SELECT doc_id, count(*) FILTER (counts) AS n_matches, arg_max(name, (dice, -rank)) AS license, max(dice) AS dice FROM m GROUP BY doc_id),
 n AS (SELECT doc_id, string_agg(name, ',' ORDER BY rank) AS licenses FROM (SELECT DISTINCT doc_id, name, rank FROM m) GROUP BY doc_id)
 SELECT doc_id, coalesce(n_matches, 0)::BIGINT AS n_matches, license, dice, coalesce(licenses, '') AS licenses
 FROM d LEFT JOIN a USING (doc_id) LEFT JOIN n USING (doc_id)

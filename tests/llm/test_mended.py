@@ -11,7 +11,8 @@ import zlib
 
 import numpy as np
 import pytest
-from axisgrove.llm import common, components, op1_decontaminate, op2_pii, op3_html, op5_rules, op6_quality, op8_minhash, op9_lm, op10_language
+from axisgrove.llm import common, components, op1_decontaminate, op2_pii, op3_html, op5_rules, op6_quality, op7_license, op8_minhash, op9_lm, op10_language
+from checks import same
 from pyspark.sql import functions as F
 from test_brute import SF, base_spans
 
@@ -302,3 +303,33 @@ def test_salted_join_is_a_join(spark):
     for how in ("inner", "left", "left_semi"):
         scratch = common.Scratch(spark, "t")
         assert sorted(map(str, common.salted_join(scratch, how, many, one, "k", how, rows=20).collect())) == sorted(map(str, many.join(one, "k", how).collect()))
+
+
+# 7
+
+
+def test_op7_runs_of_words_as_sql_finds_them(spark, tmp_path):
+    rng = random.Random(77)
+    prose = lambda n: " ".join(rng.choice(["of the", "software", "a", "river", "is", "the license", "without", "warranty", "stone"]) for _ in range(n))
+    texts = [None, "", "one"]
+    for t in op7_license.TEMPLATES.values():
+        w = t.split()
+        texts += [f"{prose(40)} {t} {prose(40)}", "\n\n".join([" ".join(w[: len(w) // 2]), " ".join(w[len(w) // 2 :]), "def f(x):\n    return x\n" * 30])]
+        texts.append(prose(9) + "\n# " + "\n# ".join(" ".join(v[i : i + 9]) for v in [[x for x in w if rng.random() > 0.04]] for i in range(0, len(v), 9)) + "\n" + prose(5))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "x"))
+    [made] = (tmp_path / "x").glob("*.parquet")
+    made.rename(tmp_path / "documents.parquet")
+    same(op7_license.op7_license_scan(spark, str(tmp_path)), op7_license.OP7_SQL, str(tmp_path))
+    names = list(op7_license.TEMPLATES)
+    for r in op7_license.op7_license_scan(spark, str(tmp_path)).collect():
+        # the third text of each licence lacks words, a short notice perhaps too many
+        assert r.doc_id < 3 or r.doc_id % 3 == 2 or names[(r.doc_id - 3) // 3] in r.licenses.split(",")
+
+
+def test_scratch_scope(spark):
+    with common.Scratch.scope():
+        t = common.Scratch(spark, "scoped")
+        assert t.keep(spark.range(3), "a").count() == 3
+        where = op9_lm.local(t.root)
+        assert os.path.exists(where)
+    assert not os.path.exists(where)
