@@ -1,4 +1,4 @@
-"""The queries of this subpackage and, where SQL can express one, the SQL of its result."""
+"""The queries of this subpackage's operators and, where SQL can express one, the SQL of its result."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import op1_decontaminate, op2_pii, op3_html, op4_mix, op5_rules, op6_quality, op7_license, op8_minhash, op9_lm, op10_language
 
 
@@ -23,7 +21,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash": op8_minhash.op8_minhash,
         "op9_lm": op9_lm.op9_lm,
         "op10_language": op10_language.op10_language,
-        "pipeline": corpus_pipeline.run,
     }
 
 
