@@ -51,7 +51,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BEGIN, END = np.uint64(0x5BD1E995C6A4A793), np.uint64(0xD6E8FEB86659FD93)
 CHUNK = 3_000_000  # tokens that a task counts at once
-SHARD_BYTES, FEWEST, MOST = 32 << 20, 4, 32_768  # text a shard, and shards
+SHARD_BYTES, FEWEST, MOST = 12 << 20, 4, 32_768  # text a shard, and shards
 FOLD = 4_000_000  # pairs or words that a merging task gathers before it adds them up
 PACKED = "shard int, kind int, data binary"
 
@@ -121,7 +121,7 @@ def get(root: str, name: str) -> tuple[dict[str, np.ndarray], int]:
     mapped. A file that is not there raises."""
     if root.startswith("file:"):
         with open(f"{local(root)}/{name}", "rb") as f:
-            data, taken = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), 0
+            data, taken = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **UNTRACKED), 0
     else:
         from pyarrow import fs
 
@@ -134,11 +134,15 @@ def get(root: str, name: str) -> tuple[dict[str, np.ndarray], int]:
     return {k: np.frombuffer(data, dtype=t, count=math.prod(shape), offset=start + at).reshape(shape) for k, (t, shape, at) in head.items()}, taken
 
 
+#: Where Python allows it, a map holds no file descriptor, so that there can be thousands.
+UNTRACKED = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+
+
 class Shelf:
     """The files that a scoring task has open: at most MAPS, and at most HELD bytes of those that cannot be mapped; the
     one used longest ago goes first."""
 
-    MAPS, HELD = 600, 256 << 20
+    MAPS, HELD = 30_000 if UNTRACKED else 600, 256 << 20
 
     def __init__(self, root: str, names: frozenset) -> None:
         self.root, self.names, self.open, self.held = root, names, collections.OrderedDict(), 0
