@@ -10,7 +10,8 @@
    blocks of a source or a millionth of its documents, however hot the source is.
 3. Splitting tree. The vector of block quotas of all sources is split in two, again and again, until there is a part
    for each output shard. Each split is an exact multivariate-hypergeometric draw (selection sampling, source after
-   source), so shards get equal numbers of blocks and each source its exact quota over all shards.
+   source), so shards get equal numbers of blocks and each source its exact quota over all shards. Beyond 256 sources
+   there is a tree for each 256 of them.
 4. Each source deals its permuted blocks out by its shards' quotas: disjoint runs of the permutation. Inside a shard,
    copies are ordered by a hash.
 
@@ -18,7 +19,7 @@ All random choices are hashes of the seed, so that reruns agree. Everything is D
 
 Defined results: null text has size 0 and is never short of its target; a null source is a source of its own;
 repeated rows are documents of their own (equal ids share a block); an empty table gives an empty result; columns
-other than id, text and source are not read. The quota vector has one number a source and sits in one row.
+other than id, text and source are not read. A quota vector has one number a source.
 """
 
 from __future__ import annotations
@@ -77,14 +78,15 @@ def split_sql(counts: str, total: str, node: str, seed: int) -> str:
     return f"aggregate({counts}, struct({total} as n, cast({total} div 2 as bigint) as m, 0L as i, cast(array() as array<bigint>) as o), (a, k) -> {step}, a -> a.o)"
 
 
-def shard_quotas(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
-    """(rank, per_shard): each source's blocks in each of the 2^depth shards. quotas: rank, q."""
-    s = quotas.groupBy().agg(F.sort_array(F.collect_list(F.struct("rank", "q"))).alias("s"))
-    s = s.select(F.lit(1).cast("bigint").alias("node"), F.expr("transform(s, x -> x.rank)").alias("ranks"), F.expr("transform(s, x -> x.q)").alias("counts"))
+def shard_quotas(quotas: DataFrame, depth: int, seed: int, together: int = 256) -> DataFrame:
+    """(rank, per_shard): each source's blocks in each of the 2^depth shards. quotas: rank, q. Sources are split in
+    groups of `together` ranks, each with a tree of its own, so that a row holds that many numbers at most."""
+    s = quotas.groupBy(F.expr(f"cast((rank - 1) div {together} as bigint)").alias("grp")).agg(F.sort_array(F.collect_list(F.struct("rank", "q"))).alias("s"))
+    s = s.select("grp", F.lit(1).cast("bigint").alias("node"), F.expr("transform(s, x -> x.rank)").alias("ranks"), F.expr("transform(s, x -> x.q)").alias("counts"))
     for _ in range(depth):
-        s = s.select("node", "ranks", "counts", F.expr("aggregate(counts, 0L, (a, x) -> a + x)").alias("total"))
-        s = s.select("node", "ranks", "counts", F.expr(split_sql("counts", "total", "node", seed)).alias("left"))
-        s = s.select("ranks", F.explode(F.expr("array(struct(2 * node as node, left as counts), struct(2 * node + 1 as node, zip_with(counts, left, (c, l) -> c - l) as counts))")).alias("x")).select("x.node", "ranks", "x.counts")
+        s = s.select("grp", "node", "ranks", "counts", F.expr("aggregate(counts, 0L, (a, x) -> a + x)").alias("total"))
+        s = s.select("grp", "node", "ranks", "counts", F.expr(split_sql("counts", "total", "grp, node", seed)).alias("left"))
+        s = s.select("grp", "ranks", F.explode(F.expr("array(struct(2 * node as node, left as counts), struct(2 * node + 1 as node, zip_with(counts, left, (c, l) -> c - l) as counts))")).alias("x")).select("grp", "x.node", "ranks", "x.counts")
     s = s.select("node", F.explode(F.expr("arrays_zip(ranks, counts)")).alias("x")).select("node", "x.ranks", "x.counts")
     return s.groupBy(F.col("ranks").alias("rank")).agg(F.expr("transform(sort_array(collect_list(struct(node, counts))), x -> x.counts)").alias("per_shard"))
 
