@@ -173,3 +173,22 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **optio
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: All windows of all documents by counts of equal shingles, without fingerprints or a prefix filter.
+OP1_SQL = r"""
+WITH i AS (
+  SELECT item_id, w, len(w) AS words, least(len(w), 5) AS cut FROM (
+    SELECT item_id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}\s]+', '', 'g'), '\s+'), lambda x: x <> '') AS w FROM benchmark)
+  WHERE len(w) > 0),
+d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}\s]+', '', 'g'), '\s+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT item_id, cut, words, unnest(list_transform(range(1, len(w) - cut + 2), lambda k: array_to_string(w[k:k + cut - 1], ' '))) AS g FROM i),
+c AS (SELECT item_id, cut, g, count(*) AS c, max(words) - max(cut) + 1 AS m FROM g GROUP BY item_id, cut, g),
+s AS (SELECT r, doc_id, cut, len(w) - cut + 1 AS n, k - 1 AS pos, array_to_string(w[k:k + cut - 1], ' ') AS g FROM d, (SELECT DISTINCT cut FROM i), unnest(range(1, len(w) - cut + 2)) AS t(k)),
+h AS (SELECT r, doc_id, item_id, m, n, pos, greatest(0, pos - m + 1, coalesce(lag(pos, c) OVER (PARTITION BY r, item_id, g ORDER BY pos) + 1, 0)) AS low FROM s JOIN c USING (cut, g)),
+b AS (SELECT DISTINCT r, doc_id, item_id, m, n, low AS start FROM h WHERE low <= greatest(0, n - m)),
+k AS (SELECT b.r, b.doc_id, b.item_id, b.start, m + least(m, n) AS sizes, count(*) AS k FROM b JOIN (SELECT r, item_id, low, pos FROM h) x ON x.r = b.r AND x.item_id = b.item_id AND x.low <= b.start AND x.pos >= b.start
+      GROUP BY b.r, b.doc_id, b.item_id, b.start, m, n)
+SELECT doc_id, item_id, start::INTEGER AS start, k / (sizes - k)::DOUBLE AS similarity FROM k WHERE 100 * k >= 80 * (sizes - k)
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY k / (sizes - k)::DOUBLE DESC, start) = 1
+"""

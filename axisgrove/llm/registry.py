@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_decontaminate": op1_decontaminate.OP1_SQL,
         "op5_quality_rules": op5_rules.OP5_SQL,
         "op7_license_scan": op7_license.OP7_SQL,
         "op8_minhash": op8_minhash.OP8_SQL,

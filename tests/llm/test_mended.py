@@ -11,7 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
-from axisgrove.llm import common, components, op1_decontaminate, op2_pii, op3_html, op5_rules, op6_quality, op7_license, op8_minhash, op9_lm, op10_language
+from axisgrove.llm import common, components, op1_decontaminate, op2_pii, op3_html, op4_mix, op5_rules, op6_quality, op7_license, op8_minhash, op9_lm, op10_language
 from checks import same
 from pyspark.sql import functions as F
 from test_brute import SF, base_spans
@@ -333,3 +333,30 @@ def test_scratch_scope(spark):
         where = op9_lm.local(t.root)
         assert os.path.exists(where)
     assert not os.path.exists(where)
+
+
+def test_op1_same_as_sql(spark):
+    same(op1_decontaminate.op1_decontaminate(spark, SF), op1_decontaminate.OP1_SQL, SF)
+
+
+def test_op1_sql_on_odd_documents(spark, tmp_path):
+    """Short items and documents, repeated shingles, rows of one id and without one."""
+    rng = random.Random(111)
+    items = [(k, " ".join(rng.choice("abcd") for _ in range(n))) for k, n in enumerate([1, 2, 3, 4, 5, 6, 9, 14, 30, 40])] + [(90, None), (91, "")]
+    docs = [(None if k % 20 == 0 else k // 2, ", ".join(rng.choice(items[:10])[1].split()[rng.randint(0, 2) :] + [rng.choice("abz") for _ in range(rng.randint(0, 6))])) for k in range(160)] + [(999, None)]
+    for name, rows, schema in (("documents", docs, "doc_id long, text string"), ("benchmark", items, "item_id long, text string")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name))
+        [made] = (tmp_path / name).glob("*.parquet")
+        made.rename(tmp_path / f"{name}.parquet")
+    same(op1_decontaminate.op1_decontaminate(spark, str(tmp_path)), op1_decontaminate.OP1_SQL, str(tmp_path))
+
+
+# 4
+
+
+def test_op4_trees_of_many_sources(spark):
+    q = spark.createDataFrame([(k, (k * 7) % 23) for k in range(1, 701)], "rank int, q long")
+    got = {r["rank"]: list(r["per_shard"]) for r in op4_mix.shard_quotas(q, 3, 9).collect()}
+    assert {k: sum(v) for k, v in got.items()} == {k: (k * 7) % 23 for k in range(1, 701)}
+    shards = [sum(v[s] for v in got.values()) for s in range(8)]
+    assert max(shards) - min(shards) <= 3 * 3
