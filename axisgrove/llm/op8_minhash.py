@@ -205,11 +205,12 @@ def alike_sets(n: int, percent: int):
 
 
 def blocks_of(members: DataFrame, group: str, block: int, payload: int) -> DataFrame:
-    """(group, n, ka, ku): how many blocks a group's members, and those of them that are not settled, are cut into."""
-    cut = lambda m, size: F.least(m, F.greatest(F.ceil(m / block), F.ceil(size / payload))).cast("int")
+    """(group, n, ka, ku): how many blocks a group's members, and those of them that are not settled, are cut into. Where
+    few are not settled, they can go to many blocks at little cost, so these are smaller."""
+    cut = lambda m, size, rows: F.least(m, F.greatest(F.ceil(m / rows), F.ceil(size / payload))).cast("int")
     free, size = F.when(~F.col("settled"), 1), F.length("payload")
     g = members.groupBy(group).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"), F.count(free).alias("u"), F.sum(free * size).alias("ubytes"))
-    return g.where("n > 1 and u > 0").select(group, "n", cut(F.col("n"), F.col("bytes")).alias("ka"), cut(F.col("u"), F.col("ubytes")).alias("ku"))
+    return g.where("n > 1 and u > 0").select(group, "n", cut(F.col("n"), F.col("bytes"), F.least(F.lit(block), F.greatest(F.lit(64), 8 * F.col("u")))).alias("ka"), cut(F.col("u"), F.col("ubytes"), F.lit(block)).alias("ku"))
 
 
 def in_blocks(scratch: Scratch, name: str, members: DataFrame, group: str, kernel, block: int = BLOCK, payload: int = PAYLOAD) -> DataFrame:
@@ -237,6 +238,7 @@ def confirmed(scratch: Scratch, texts: DataFrame, central: DataFrame, kernel, pi
     and a group of copies around a centre costs its own size, not the square."""
     texts = texts.withColumn("settled", F.lit(False))
     sizes = in_blocks.__defaults__
+    # nothing is settled yet, so these are the components of several full blocks
     big = scratch.keep(blocks_of(texts, "component", *sizes).where("ka > 1").select("component", "n"), "big")
     if not big.count():
         return in_blocks(scratch, "sets", texts, "component", kernel)
