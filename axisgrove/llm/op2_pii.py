@@ -272,12 +272,12 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The columns of the query from the spans of find()."""
+    """The columns of the query from the spans of find(); n_added counts those that are of no base kind."""
     each = ", ".join(f"transform(array_sort({k}), x -> concat('{k}:', x.start, ':', x.end))" for k in BASE)
     rank = "transform(added, x -> struct(" + "array_position(array(" + ", ".join(f"'{k}'" for k in KINDS) + "), x.kind) as k, x.start as start, x.end as end, x.kind as kind))"
     more = f"transform(array_sort({rank}), x -> concat(x.kind, ':', x.start, ':', x.end))"
     out = found.select("doc_id", *(F.expr(f"cast(size({k}) as bigint)").alias(f"n_{k}") for k in BASE), F.expr(f"concat({each})").alias("base"), F.expr(more).alias("more"))
-    return out.select("doc_id", *(f"n_{k}" for k in BASE), F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join(F.concat("base", "more"), ",").alias("spans"))
+    return out.select("doc_id", *(f"n_{k}" for k in BASE), F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join(F.concat("base", "more"), ",").alias("spans"), F.size("more").cast("bigint").alias("n_added"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

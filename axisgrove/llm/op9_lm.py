@@ -20,8 +20,8 @@ order's counts would be several times the text, see the README.
 Tokens are words with A-Z lower-cased, then one end a text; they stand for themselves as 64-bit hashes. Files are
 written under a temporary name and renamed, so that a task which runs again changes nothing.
 
-Defined results: null text counts as empty and has the end only; without training rows every token is unknown and both
-scores are 0; repeated rows train and are scored each; an empty table gives an empty result; columns other than id and
+Defined results: null text counts as empty and has the end only; without training rows every token is unknown, both
+scores are 0 and the perplexity is 1; repeated rows train and are scored each; an empty table gives an empty result; columns other than id and
 text are not read.
 """
 
@@ -494,13 +494,15 @@ def scorer(model: Model):
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns doc_id, n_tokens, n_known, base_score (add-one unigram) and score (log10 probability of the text)."""
+    """Returns doc_id, n_tokens, n_known, base_score (add-one unigram), score (log10 probability of the text) and
+    perplexity (of a token, so that long and short texts compare)."""
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(scorer(model), "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    d = d.mapInArrow(scorer(model), "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    return d.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(fold(F.col("doc_id"), 7) != 2))
     out = score(docs, model)
-    return out.select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "base_score", "score")
+    return out.select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("bigint").alias("train_tokens"), "base_score", "score", "perplexity")

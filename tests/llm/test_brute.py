@@ -125,6 +125,7 @@ def test_op2_base_spans(spark, docs):
         want = base_spans(of[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and r.spans.startswith(want)
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [want.count(f"{k}:") for k in ("email", "ip", "card", "phone")]
+        assert r.n_added == len([x for x in r.spans.split(",") if x]) - len([x for x in want.split(",") if x])
 
 
 def test_op2_adds_secrets_and_redacts(spark):
@@ -339,6 +340,7 @@ def test_op9_is_the_model(spark, docs):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(uni[x] > 0 for x in w), n)
         assert math.isclose(r.base_score, sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
         assert math.isclose(r.score, sum(math.log10(p(a, b)) for a, b in zip(["\0begin", *w], w)), rel_tol=1e-9)
+        assert math.isclose(r.perplexity, 10 ** (-r.score / len(w)), rel_tol=1e-9)
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 

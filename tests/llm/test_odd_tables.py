@@ -49,6 +49,7 @@ def test_odd_rows(spark, odd, name):
         assert by[0]["kept"] and by[8]["component_id"] == by[11]["component_id"] == 8 and not by[9]["kept"]
     if name == "op9":
         assert by[0]["n_tokens"] == by[1]["n_tokens"] == by[2]["n_tokens"] == 1 and by[3]["n_tokens"] == 2
+        assert all(r["perplexity"] >= 1 for r in got)
     if name == "op10":
         assert by[0]["lang_pred"] == by[1]["lang_pred"] == by[7]["lang_pred"] == "und" and by[5]["lang_pred"] != "und"
 
