@@ -232,11 +232,18 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return found.select("doc_id", *BASE, F.expr(learned(found)).alias("added"))
 
 
+def ordered_sql(base: str = "") -> str:
+    """Array of (start, -end, kind) of the base kinds' spans, which stand under their names after `base`, and of added,
+    in order."""
+    each = [f"transform({base}{k}, x -> struct(x.start as start, -x.end as e, '{k}' as kind))" for k in BASE]
+    return "array_sort(concat(" + ", ".join(each) + ", transform(added, x -> struct(x.start as start, -x.end as e, x.kind as kind))))"
+
+
 def spans_sql(text: str, added: str) -> str:
-    """Array of (start, -end, kind) of all spans of a text, base and added, in order; in one expression."""
+    """The ordered spans of a text, base and added, in one expression."""
     kinds = ", ".join(f"{base_sql(k)} as {k}" for k in BASE)
     return lets(
-        "array_sort(concat(" + ", ".join(f"transform(f.{k}, x -> struct(x.start as start, -x.end as e, '{k}' as kind))" for k in BASE) + ", transform(added, x -> struct(x.start as start, -x.end as e, x.kind as kind))))",
+        ordered_sql("f."),
         ("text", text), ("digits", DIGITS.format("text")), ("f", f"struct({kinds}, {candidates_sql()} as candidates)"),
         ("base", "array_sort(concat(" + ", ".join(f"f.{k}" for k in BASE) + "))"), ("candidates", "f.candidates"), ("candidates", FREE), ("added", added))
 
@@ -260,14 +267,16 @@ def settled_sql(text: str, added: str) -> str:
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows and columns of docs, each span of a text replaced by its kind in brackets, until no text has a span: what
     a span leaves behind can be one of its own. Null texts stay null. No shuffle: the classifier is learned in a first
-    pass over the texts and applied in a second, in which only texts with spans are read more than once."""
+    pass over the texts and applied in a second. Its spans are the first turn's; only texts that have some are read
+    again, until they have none."""
     d = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__raw"))
     scratch = Scratch(docs.sparkSession, "redact")
     added = learned(scratch.keep(located(d, "__raw").where("size(candidates) > 0"), "found"))
     scratch.drop()
     f = located(d, "__raw", "__row", "__raw").select("__row", "__raw", *BASE, F.expr(added).alias("added"))
-    some = " or ".join(f"size({k}) > 0" for k in (*BASE, "added"))
-    f = f.select("__row", F.expr(f"if(__raw is not null and ({some}), {settled_sql('__raw', added)}, __raw)").alias("__raw"))
+    f = f.select("__row", "__raw", F.expr(ordered_sql()).alias("spans"))
+    f = f.select("__row", "__raw", F.expr(f"if(__raw is not null and size(spans) > 0, {replaced_sql('__raw', 'spans')}, null)").alias("__once"))
+    f = f.select("__row", F.expr(f"if(__once is null, __raw, {settled_sql('__once', added)})").alias("__raw"))
     return f.select(*(F.col("__raw").alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in docs.columns))
 
 
